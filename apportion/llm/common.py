@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from apportion.session import ship
+
 #: Words are runs of anything but these (Java and Python regex alike).
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -36,6 +38,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain(docs: DataFrame) -> DataFrame:
     """doc_id and text alone; a null text counts as empty. Extra columns go, so no name can clash."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from apportion.llm import fingerprints, secrets
+from apportion.llm import fingerprints, neardup, rules, secrets, toxicity
 from apportion.llm.common import documents
 
+
+def labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 QUERIES = {
     "op1_secret_scan": lambda spark, d: secrets.scan(documents(spark, d)),
+    "op2_minhash_near_dedup": lambda spark, d: neardup.classes_of(documents(spark, d)),
+    "op4_quality_rules": lambda spark, d: rules.judge(documents(spark, d), labels(spark, d)),
+    "op7_toxicity": lambda spark, d: toxicity.scores(documents(spark, d), labels(spark, d)),
     "op8_document_fingerprint": lambda spark, d: fingerprints.fingerprints(documents(spark, d)),
 }
 ORACLE_SQL: dict[str, str] = {}
