@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from apportion.llm import fingerprints, neardup, rules, secrets, toxicity
+from apportion.llm import fingerprints, neardup, rules, secrets, substring, suffixarray, toxicity
 from apportion.llm.common import documents
 
 
@@ -14,6 +14,8 @@ QUERIES = {
     "op1_secret_scan": lambda spark, d: secrets.scan(documents(spark, d)),
     "op2_minhash_near_dedup": lambda spark, d: neardup.classes_of(documents(spark, d)),
     "op4_quality_rules": lambda spark, d: rules.judge(documents(spark, d), labels(spark, d)),
+    "op5_suffix_array_dedup": lambda spark, d: suffixarray.dedup(documents(spark, d)),
+    "op9_substring_dedup": lambda spark, d: substring.dedup(documents(spark, d)),
     "op7_toxicity": lambda spark, d: toxicity.scores(documents(spark, d), labels(spark, d)),
     "op8_document_fingerprint": lambda spark, d: fingerprints.fingerprints(documents(spark, d)),
 }
