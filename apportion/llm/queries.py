@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from apportion.llm import fingerprints, neardup, rules, secrets, substring, suffixarray, toxicity
+from apportion.llm import fingerprints, neardup, packing, rules, secrets, substring, suffixarray, tokenfile, toxicity
 from apportion.llm.common import documents
 
 
@@ -16,6 +16,8 @@ QUERIES = {
     "op4_quality_rules": lambda spark, d: rules.judge(documents(spark, d), labels(spark, d)),
     "op5_suffix_array_dedup": lambda spark, d: suffixarray.dedup(documents(spark, d)),
     "op9_substring_dedup": lambda spark, d: substring.dedup(documents(spark, d)),
+    "op6_sequence_packing": lambda spark, d: packing.pack(documents(spark, d)),
+    "op10_token_files": lambda spark, d: tokenfile.round_trip(documents(spark, d)),
     "op7_toxicity": lambda spark, d: toxicity.scores(documents(spark, d), labels(spark, d)),
     "op8_document_fingerprint": lambda spark, d: fingerprints.fingerprints(documents(spark, d)),
 }
