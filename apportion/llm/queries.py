@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from apportion.llm import fingerprints, neardup, packing, rules, secrets, substring, suffixarray, tokenfile, toxicity
+from apportion.llm import fingerprints, neardup, packing, rules, secrets, substring, suffixarray, tokenfile, toxicity, unigram
 from apportion.llm.common import documents
 
 
@@ -13,6 +13,7 @@ def labels(spark, sf_dir):
 QUERIES = {
     "op1_secret_scan": lambda spark, d: secrets.scan(documents(spark, d)),
     "op2_minhash_near_dedup": lambda spark, d: neardup.classes_of(documents(spark, d)),
+    "op3_sentencepiece": lambda spark, d: unigram.encode(documents(spark, d)),
     "op4_quality_rules": lambda spark, d: rules.judge(documents(spark, d), labels(spark, d)),
     "op5_suffix_array_dedup": lambda spark, d: suffixarray.dedup(documents(spark, d)),
     "op9_substring_dedup": lambda spark, d: substring.dedup(documents(spark, d)),
