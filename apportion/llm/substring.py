@@ -103,11 +103,10 @@ def _cuts(c: repeats.Chunk, covered: np.ndarray) -> pd.DataFrame:
 
 
 def strip(docs: DataFrame) -> DataFrame:
-    """docs with the repeated words taken out of text (what is left joined by one space); documents of which nothing is left go, untouched ones stay as they are."""
+    """docs with the repeated words taken out of text (what is left joined by one space, and n_chars its length). All rows stay, untouched texts as they are."""
     cuts = repeats.repeated(docs, SPEC, _cuts, "_id long, _md5 string, _kept string").dropDuplicates(["_id", "_md5"])
     d = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
     d = d.join(cuts, d["doc.doc_id"].eqNullSafe(cuts["_id"]) & (F.md5(F.coalesce(d["doc.text"], F.lit("")).cast("binary")) == cuts["_md5"]), "left")
-    d = d.filter("_kept is null or _kept != ''")
     text = F.coalesce("_kept", "doc.text")
     cols = {c: F.col(f"doc.`{c}`").alias(c) for c in docs.columns}
     cols["text"] = text.alias("text")
