@@ -156,9 +156,9 @@ def kmer_ambiguity(t: Tables):
     return kmers.ambiguity(t.benchmark.select(F.col("item_id").alias("name"), F.col("text").alias("seq")), 9).select("name", r(F.col("score"), 6).alias("score"))
 
 
-@query("select item_id, reverse(translate(regexp_replace(text, '[^ -~]', 'N', 'g'), 'ACGTNacgtn', 'TGCANtgcan')) as rc, md5(upper(text)) as m5, length(text) as len from benchmark")
+@query("select item_id, reverse(translate(regexp_replace(text, '[^ -~]', 'N', 'g'), 'ACGTNacgtn', 'TGCANtgcan')) as rc, md5(upper(regexp_replace(text, '[^ -~]', 'N', 'g'))) as m5, length(text) as len from benchmark")
 def reverse_complement(t: Tables):
-    return t.benchmark.select("item_id", scalar.reverse_complement(F.regexp_replace("text", "[^ -~]", "N")).alias("rc"), F.md5(F.upper("text").cast("binary")).alias("m5"), F.length("text").cast("long").alias("len"))
+    return t.benchmark.select("item_id", scalar.reverse_complement(F.regexp_replace("text", "[^ -~]", "N")).alias("rc"), F.md5(F.upper(F.regexp_replace("text", "[^ -~]", "N")).cast("binary")).alias("m5"), F.length("text").cast("long").alias("len"))
 
 
 @query("""select item_id, case when item_id % 2 = 0 then s else reverse(translate(s, 'ACGTNacgtn', 'TGCANtgcan')) end as spliced from (select item_id, substr(text, 3, 10) || substr(text, 21, 5) || substr(text, 40, 1) as s from benchmark)""")
