@@ -149,12 +149,12 @@ def front_decode(blob: bytes, n: int, width: int) -> tuple[np.ndarray, np.ndarra
     """Rows and shared lengths."""
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     shared = raw[: 2 * n].view("<u2").astype(np.int64)
-    out = np.zeros((n, width), np.uint8)
-    out[np.arange(width)[None, :] >= shared[:, None]] = raw[2 * n :]
-    # Each column takes the byte of the last row that wrote it.
-    for j in range(width):
-        own = np.where(shared <= j, np.arange(n), 0)
-        out[:, j] = out[np.maximum.accumulate(own), j]
+    out = np.empty((n, width), np.uint8)
+    at = 2 * n
+    for i, k in enumerate(shared.tolist()):
+        out[i, :k] = out[i - 1, :k]
+        out[i, k:] = raw[at : at + width - k]
+        at += width - k
     return out, shared
 
 
