@@ -164,7 +164,7 @@ ANSWERS = "chunk long, bucket int, mask binary"
 
 def chunked(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for chunk, b in exchange.numbered(batches, most=1 << 20):
             texts = [t.encode() for t in b.text]
             null = b.doc_id.isna().to_numpy()
