@@ -209,8 +209,8 @@ def _pick(row, answers: pd.DataFrame, spec: Spec, bits: int) -> pd.DataFrame:
 
 
 def _ranges(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, first = np.unique(sorted_keys, return_index=True)
-    return keys, first, np.append(first[1:], len(sorted_keys))
+    keys, first, count = np.unique(sorted_keys, return_index=True, return_counts=True)
+    return keys, first, first + count
 
 
 def nodes_of(ctx: np.ndarray, shared: np.ndarray, weight: np.ndarray, spec: Spec) -> np.ndarray:
