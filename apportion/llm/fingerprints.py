@@ -27,13 +27,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from apportion.llm.common import let, plain, words
+from apportion.llm.common import let, plain, words, write_table
 
 EXACT, LANES, SHINGLE = 8, 64, 5
 #: doc_ids whose upper bits agree share a bucket of at most so many ids.
 BUCKET_BITS = 6
 #: Buckets whose upper bits agree are put in order together; only one row for each such set meets in one task.
 SUPER_BITS = 14
+#: Most rows of two numbers that are sent to all tasks.
+FEW = 200_000
 _LOW32 = 0xFFFFFFFF
 _PAIR = (1 << 31) | 1  # one counter at bit 0, one at bit 31
 
@@ -109,7 +111,9 @@ def neighbours(docs: DataFrame) -> DataFrame:
     sups = sups.select("sup", F.coalesce(F.lag("low").over(Window.orderBy(F.desc("sup"))), F.min("low").over(Window.partitionBy(F.lit(0)))).alias("above"))
     within = F.lag("home").over(Window.partitionBy("sup").orderBy(F.desc("home")))
     joins = tops.select("sup", F.col("top").alias("k"), within.alias("before")).join(sups, "sup").select("k", F.coalesce("before", "above").alias("also"))
-    d = d.join(joins, "k", "left")
+    joins = write_table(joins, "joins")
+    # A number or two for each bucket: sent to all tasks while they are few, dealt out like the texts beyond that.
+    d = d.join(F.broadcast(joins) if joins.count() <= FEW else joins, "k", "left")
     d = d.select("doc_id", "text", "k", "home", "also", F.posexplode(F.array("home", "also")).alias("extra", "b")).filter("b is not null")
     w = Window.partitionBy("b").orderBy("extra", F.desc("k"), F.xxhash64("text"))
     d = d.select("doc_id", "text", "b", "extra", "also", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next"))
