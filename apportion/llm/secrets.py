@@ -73,8 +73,9 @@ def parts(text: Column) -> Column:
 
 
 def linked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows: keys and parts. One row for each part that is reported (a row with null kind if none is there): keys, kind, start, stop."""
-    p = rows.select(*keys, F.explode_outer("parts").alias("p")).select(*keys, "p.*")
+    """rows: keys and parts. One row for each part that is reported, and for each text one of null kind: keys, kind, start, stop."""
+    none = F.lit(None).cast("struct<kind:int,start:int,stop:int>")
+    p = rows.select(*keys, F.explode(F.concat(F.array(none), "parts")).alias("p")).select(*keys, "p.*")
     kind, start, stop = (F.col(c) for c in ("kind", "start", "stop"))
     role = {"base": kind < BASE, "named": kind.isin(4, 5), "ident": kind.isin(1, 4), "secret": kind.isin(0, 2, 3), "place": kind == 5}
     before = Window.partitionBy(*keys).orderBy("start", "stop", "kind").rowsBetween(Window.unboundedPreceding, -1)
