@@ -27,8 +27,7 @@ def _em_sql(rounds: int, noise: str = "") -> str:
 
 @query(f"{_em_sql(2)} select sid, {rsql('theta * 1e6', 3)} as theta_ppm, {rsql('cnt')} as cnt from t2 join c2 using (sid)")
 def em_theta_fixed_rounds(t: Tables):
-    theta, counts = em.fixed_rounds(t.hits, 2, _few(t))
-    return theta.join(counts, "sid").select("sid", r(F.col("theta") * 1e6, 3).alias("theta_ppm"), r(F.col("cnt")).alias("cnt"))
+    return em.with_theta(em.fixed_rounds(t.hits, 2, _few(t))[1]).select("sid", r(F.col("theta") * 1e6, 3).alias("theta_ppm"), r(F.col("cnt")).alias("cnt"))
 
 
 @query(f"""{_em_sql(1, " + 0.0002")} select {rsql('sum(placed)')} as placed, {rsql('sum(1 - placed)')} as noise from (select rid, sum(w / tot) as placed from p1 group by rid)""")
@@ -41,8 +40,8 @@ def em_noise_slot(t: Tables):
 
 def _results(t: Tables):
     """Targets with counts, theta, effective length (length + 9 stands for it), tpm and fpkm."""
-    theta, counts = em.fixed_rounds(t.hits, ROUNDS, _few(t))
-    x = t.targets.join(counts, "sid", "left").join(theta, "sid", "left").fillna(0.0, ["cnt", "theta"])
+    counts = em.with_theta(em.fixed_rounds(t.hits, ROUNDS, _few(t))[1])
+    x = t.targets.join(counts, "sid", "left").fillna(0.0, ["cnt", "theta"])
     return em.abundances(x.withColumn("eel", (F.col("length") + 9).cast("double")))
 
 
