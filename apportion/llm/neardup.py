@@ -16,8 +16,8 @@ a list: first each node of a list against the list's smallest node; then, with
 the linked nodes merged, only pairs across different components of a list, one
 of them outside the list's largest component. A pair passes the sizes, the
 number of values left after the shared one, then the estimate from the union's
-bottom-64 sketch (at least MARGIN, six standard errors below 0.8), then the
-exact Jaccard similarity of the full sets.
+bottom-24 sketch (at least MARGIN, six standard errors below 0.8), and only then
+do the texts of the pair meet for the exact Jaccard similarity of the full sets.
 
 Defined cases: a null text, or one without words, has an empty set, is linked
 with nothing and is kept; fewer than four words are one shingle; a null doc_id
@@ -32,13 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apportion.llm import exchange, seq
 from apportion.llm.common import plain, write_table
 
-SHINGLE, PERCENT, SKETCH, MARGIN = 4, 80, 64, 0.5
+SHINGLE, PERCENT, SKETCH, MARGIN = 4, 80, 24, 0.3
 COUNTER_BITS, BLOCK = 20, 1 << 14
 
 
@@ -111,26 +112,35 @@ def _classes(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.log2(np.maximum(counts / (2 * mean), 1)), 0, 60).astype(np.uint8)
 
 
+CHUNKS = "chunk long, ids binary, nulls binary, n binary, nodes binary, keep binary, values binary, sketches binary, texts binary, lens binary"
+
+
 def _chunks(docs: DataFrame, classes) -> DataFrame:
-    """A row per chunk: its documents' ids, set sizes and nodes, and the retained values of each node's first document."""
+    """A row per chunk: its documents' ids, set sizes and nodes; for each node's first document the retained values and the packed text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = classes.value
+        pack = zstandard.ZstdCompressor(level=3)
         for chunk, b in exchange.numbered(batches):
-            o, h = shingles([t.encode() for t in b.text])
+            texts = [t.encode() for t in b.text]
+            o, h = shingles(texts)
             n = np.bincount(o, minlength=len(b))
             nodes = node_ids(o, h, len(b))
             rank = np.lexsort((order[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], o))  # stable: by hash within
             keep = np.minimum(retained(n), n)
             keep[np.setdiff1d(np.arange(len(b)), np.unique(nodes, return_index=True)[1])] = 0
             at = rank[seq.ragged(np.cumsum(n) - n, keep)]
-            null = b.doc_id.isna().to_numpy()
+            low = (h >> np.uint64(32)).astype("<u4")
+            ends = np.cumsum(n)
+            sketches = b"".join([low[e - m : e - m + min(m, SKETCH)].tobytes() for e, m, k in zip(ends, n, keep, strict=True) if k])
+            packed = [pack.compress(t) if k else b"" for t, k in zip(texts, keep, strict=True)]
+            ints = lambda x: [np.asarray(x).astype("<i8").tobytes()]
             yield pd.DataFrame({
-                "chunk": [chunk], "ids": [b.doc_id.fillna(0).to_numpy("<i8").tobytes()], "nulls": [np.packbits(null).tobytes()], "n": [n.astype("<i8").tobytes()],
-                "nodes": [nodes.astype("<i8").tobytes()], "keep": [keep.astype("<i8").tobytes()], "values": [h[at].astype("<u8").tobytes()],
+                "chunk": [chunk], "ids": ints(b.doc_id.fillna(0)), "nulls": [np.packbits(b.doc_id.isna().to_numpy()).tobytes()], "n": ints(n), "nodes": ints(nodes), "keep": ints(keep),
+                "values": [h[at].astype("<u8").tobytes()], "sketches": [sketches], "texts": [b"".join(packed)], "lens": ints([len(x) for x in packed]),
             })
 
-    return docs.mapInPandas(run, "chunk long, ids binary, nulls binary, n binary, nodes binary, keep binary, values binary")
+    return docs.mapInPandas(run, CHUNKS)
 
 
 _I = lambda x: np.frombuffer(x, "<i8")
@@ -147,8 +157,8 @@ def _members(chunks: DataFrame) -> DataFrame:
     return chunks.select("ids", "nulls", "n", "nodes").mapInPandas(run, "doc_id long, n long, node long")
 
 
-def _entries(chunks: DataFrame, bits: int) -> DataFrame:
-    """v, node, n, pos (the value's place among the node's): values that more than one node may retain."""
+def _nodes(chunks: DataFrame, bits: int) -> DataFrame:
+    """node, n, its retained values that another node may retain (vs), their places among the retained (ps), its chunk and its bottom values (sk): only nodes that have such values."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -160,58 +170,89 @@ def _entries(chunks: DataFrame, bits: int) -> DataFrame:
     answers = exchange.masks(chunks.select("chunk", "values").mapInPandas(send, exchange.RUN))
 
     def pick(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        rows = []
         for r in left.itertuples():
-            values, keep = _V(r.values), _I(r.keep)
+            values, keep, n, nodes = _V(r.values), _I(r.keep), _I(r.n), _I(r.nodes)
             v, where, count = np.unique(values, return_inverse=True, return_counts=True)
             hit = (exchange.shared(v, bits, right) | (count > 1))[where]
-            owner = np.repeat(np.arange(len(keep)), keep)
-            pos = np.arange(len(values)) - np.repeat(np.cumsum(keep) - keep, keep)
-            out.append(pd.DataFrame({"v": values[hit].view(np.int64), "node": _I(r.nodes)[owner[hit]], "n": _I(r.n)[owner[hit]], "pos": pos[hit]}))
-        return pd.concat(out) if out else pd.DataFrame({"v": [], "node": [], "n": [], "pos": []}, dtype="int64")
+            ends = np.cumsum(keep)
+            size = np.minimum(n, SKETCH) * (keep > 0) * 4
+            cut = np.cumsum(size)
+            for i in np.flatnonzero(np.add.reduceat(np.append(hit, False), np.minimum(ends - keep, len(hit))) * (keep > 0)):
+                ps = np.flatnonzero(hit[ends[i] - keep[i] : ends[i]])
+                rows.append((nodes[i], n[i], values[ends[i] - keep[i] + ps].view(np.int64), ps, r.chunk, r.sketches[cut[i] - size[i] : cut[i]]))
+        return pd.DataFrame(rows, columns=["node", "n", "vs", "ps", "chunk", "sk"])
 
-    rows = chunks.select("chunk", "n", "nodes", "keep", "values").groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    return rows.applyInPandas(pick, "v long, node long, n long, pos long")
+    rows = chunks.select("chunk", "n", "nodes", "keep", "values", "sketches").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return rows.applyInPandas(pick, "node long, n long, vs array<long>, ps array<long>, chunk long, sk binary").dropDuplicates(["node"])
 
 
 def _fits(na: Column, nb: Column) -> Column:
     return (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na)
 
 
-def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    reps = members.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node")
+def _texts(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """node, z: the packed texts of wanted nodes (node, chunk)."""
+
+    def pick(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        want, rows = set(right.node), []
+        for r in left.itertuples() if want else ():
+            nodes, lens = _I(r.nodes), _I(r.lens)
+            ends = np.cumsum(lens)
+            rows += [(nodes[i], r.texts[ends[i] - lens[i] : ends[i]]) for i in np.flatnonzero(lens) if nodes[i] in want]
+        return pd.DataFrame(rows, columns=["node", "z"])
+
+    return chunks.select("chunk", "nodes", "texts", "lens").groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInPandas(pick, "node long, z binary")
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [t.encode() for t in b.text]
-            for i, j in seq.groups(texts):
-                o, h = shingles(texts[i:j])
-                got = node_ids(o, h, j - i)
-                ends = np.cumsum(np.bincount(o, minlength=j - i))
-                rows = [(int(g), h[e - k : e].tobytes()) for g, e, k, want in zip(got, ends, np.bincount(o, minlength=j - i), b.node.iloc[i:j], strict=True) if g == want]
-                yield pd.DataFrame(rows, columns=["node", "set"])
 
-    sets = docs.join(reps, docs["doc_id"].eqNullSafe(reps["doc_id"])).select("node", "text").mapInPandas(build, "node long, set binary")
-    sets = write_table(sets.dropDuplicates(["node"]), "sets")
+def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose union's sketch has at least MARGIN of its values in both."""
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ok = []
             for x, y in zip(b.sa, b.sb, strict=True):
-                p, q = _V(x), _V(y)
-                union = np.union1d(p[:SKETCH], q[:SKETCH])[:SKETCH]
-                estimate = np.isin(union, p[:SKETCH]) & np.isin(union, q[:SKETCH])
-                if estimate.mean() < MARGIN:
-                    ok.append(False)
-                    continue
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= PERCENT * (len(p) + len(q) - both))
+                p, q = set(np.frombuffer(x, "<u4").tolist()), set(np.frombuffer(y, "<u4").tolist())
+                union = sorted(p | q)[:SKETCH]
+                ok.append(sum(v in p and v in q for v in union) >= MARGIN * len(union))
             yield b.loc[ok, ["a", "b"]]
 
-    j = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    return j.select("a", "b", "sa", "sb").mapInPandas(test, "a long, b long")
+    s = lambda side: nodes.select(F.col("node").alias(side), F.col("sk").alias(f"s{side}"))
+    return pairs.join(s("a"), "a").join(s("b"), "b").select("a", "b", "sa", "sb").mapInPandas(test, "a long, b long")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are linked. Texts travel packed, as they are smaller than their sets, and only those of the pairs."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "chunk"), "node")
+    texts = write_table(_texts(wanted, chunks), "texts")
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor()
+        known: dict[int, np.ndarray] = {}
+
+        def sets(b: pd.DataFrame) -> None:
+            """Into known, for the nodes of b."""
+            new = {n: z for side in "ab" for n, z in zip(b[side], b[f"z{side}"], strict=True) if n not in known}
+            names, texts = [*new], [unpack.decompress(z) for z in new.values()]
+            for i, j in seq.groups(texts):
+                o, h = shingles(texts[i:j])
+                known.update(zip(names[i:j], np.split(h, np.cumsum(np.bincount(o, minlength=j - i))[:-1]), strict=True))
+
+        for batch in batches:
+            for k in range(0, len(batch), 500):
+                b = batch.iloc[k : k + 500]
+                if len(known) > 1000:
+                    known.clear()
+                sets(b)
+                ok = []
+                for x, y in zip(b.a, b.b, strict=True):
+                    p, q = known[x], known[y]
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    ok.append(100 * both >= PERCENT * (len(p) + len(q) - both))
+                yield b.loc[ok, ["a", "b"]]
+
+    z = lambda side: texts.select(F.col("node").alias(side), F.col("z").alias(f"z{side}"))
+    return pairs.join(z("a"), "a").join(z("b"), "b").select("a", "b", "za", "zb").mapInPandas(test, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,14 +277,15 @@ def classes_of(docs: DataFrame) -> DataFrame:
     chunks = write_table(_chunks(d, classes), "chunks")
     members = write_table(_members(chunks), "members")
     bits = exchange.bucket_bits((members.agg(F.sum("n")).first()[0] or 0) * 4 * (100 - PERCENT) / 100)
-    entries = write_table(_entries(chunks, bits), "entries").dropDuplicates(["v", "node"])
-    entries = write_table(entries, "entries")
+    nodes = write_table(_nodes(chunks, bits), "nodes")
+    entries = nodes.select("node", "n", F.explode(F.arrays_zip("vs", "ps")).alias("e")).select("node", "n", F.col("e.vs").alias("v"), F.col("e.ps").alias("pos"))
 
     hubs = entries.groupBy("v").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("v", "hub")
-    sizes = entries.groupBy("node").agg(F.max("n").alias("hn")).withColumnRenamed("node", "hub")
+    sizes = nodes.select(F.col("node").alias("hub"), F.col("n").alias("hn"))
     first = entries.join(hubs, "v").filter("node != hub").select("node", "n", "hub").distinct().join(sizes, "hub").filter(_fits(F.col("n"), F.col("hn")))
     first = write_table(first.select(F.col("hub").alias("a"), F.col("node").alias("b")), "pairs")
-    links = write_table(_verified(first, members, d), "links")
+    near = write_table(_estimated(first, nodes), "pairs")
+    links = write_table(_verified(near, nodes, chunks), "links")
     comp = components(links)
 
     # Pairs across components, of which at least one lies outside its list's largest component.
@@ -255,8 +297,9 @@ def classes_of(docs: DataFrame) -> DataFrame:
     p = x.join(y, "v").filter("xcomp != ycomp and (ycomp = main or xnode < ynode)").filter(_fits(F.col("xn"), F.col("yn")))
     rest = 1 + F.least(F.col("xn") - F.col("xpos") - 1, F.col("yn") - F.col("ypos") - 1)
     p = p.filter((100 + PERCENT) * rest >= PERCENT * (F.col("xn") + F.col("yn")))
-    second = write_table(p.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    more = write_table(_verified(second, members, d), "links")
+    second = write_table(p.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    second = write_table(_estimated(second, nodes), "pairs")
+    more = write_table(_verified(second, nodes, chunks), "links")
     if more.limit(1).count():
         comp = components(links.union(more))
 
