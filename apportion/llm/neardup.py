@@ -13,8 +13,9 @@ array of fixed size, summed over all documents and sent to the tasks.
 
 Inverted lists of the retained values give candidate pairs, without all pairs of
 a list: first each node of a list against the list's smallest node; then, with
-the linked nodes merged, only pairs across different components of a list, one
-of them outside the list's largest component. A pair passes the sizes, the
+the linked nodes merged, nodes outside a list's largest component against a few
+of its members, and at last whatever is still in different components of a list,
+one of the pair outside the largest. A pair passes the sizes, the
 number of values left after the shared one, then the estimate from the union's
 bottom-24 sketch (at least MARGIN, six standard errors below 0.8), and only then
 do the texts of the pair meet for the exact Jaccard similarity of the full sets.
@@ -41,6 +42,8 @@ from apportion.llm.common import plain, write_table
 
 SHINGLE, PERCENT, SKETCH, MARGIN = 4, 80, 24, 0.3
 COUNTER_BITS, BLOCK = 20, 1 << 14
+#: Members of a component that an outsider meets in a round, and rounds before all that is left is paired.
+HUBS, MOST_TURNS = 16, 4
 
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -288,20 +291,33 @@ def classes_of(docs: DataFrame) -> DataFrame:
     links = write_table(_verified(near, nodes, chunks), "links")
     comp = components(links)
 
-    # Pairs across components, of which at least one lies outside its list's largest component.
-    e = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    parts = e.groupBy("v", "comp").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("v", "main")
-    e = write_table(e.join(parts, "v"), "lists")
-    x = e.filter("comp != main").select("v", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "pos", "comp")])
-    y = e.select("v", "main", *[F.col(c).alias(f"y{c}") for c in ("node", "n", "pos", "comp")])
-    p = x.join(y, "v").filter("xcomp != ycomp and (ycomp = main or xnode < ynode)").filter(_fits(F.col("xn"), F.col("yn")))
-    rest = 1 + F.least(F.col("xn") - F.col("xpos") - 1, F.col("yn") - F.col("ypos") - 1)
-    p = p.filter((100 + PERCENT) * rest >= PERCENT * (F.col("xn") + F.col("yn")))
-    second = write_table(p.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    second = write_table(_estimated(second, nodes), "pairs")
-    more = write_table(_verified(second, nodes, chunks), "links")
-    if more.limit(1).count():
-        comp = components(links.union(more))
+    # Nodes outside their list's largest component meet HUBS of its members, drawn anew each round, while pairing
+    # them with the whole list would take many pairs; what is still apart then is paired in full.
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    few = 2 * nodes.count()
+    for turn in range(MOST_TURNS + 1):
+        e = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        parts = e.groupBy("v", "comp").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("all"), F.max("c").alias("most")).filter("k > 1")
+        e = write_table(e.join(parts, "v"), "lists")
+        x = e.filter("comp != main").select("v", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "pos", "comp")])
+        full = turn == MOST_TURNS or (e.select("v", "all", "most").distinct().agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0) <= few
+        y = e.select("v", "main", *[F.col(c).alias(f"y{c}") for c in ("node", "n", "pos", "comp")])
+        if not full:
+            drawn = F.xxhash64("ynode", F.lit(turn))
+            y = y.filter("ycomp = main").groupBy("v", F.pmod(drawn, F.lit(HUBS)).alias("seat")).agg(F.min_by(F.struct("main", "ynode", "yn", "ypos", "ycomp"), drawn).alias("y")).select("v", "y.*")
+        p = x.join(y, "v").filter("xcomp != ycomp and (ycomp = main or xnode < ynode)").filter(_fits(F.col("xn"), F.col("yn")))
+        rest = 1 + F.least(F.col("xn") - F.col("xpos") - 1, F.col("yn") - F.col("ypos") - 1)
+        p = p.filter((100 + PERCENT) * rest >= PERCENT * (F.col("xn") + F.col("yn")))
+        pairs = write_table(p.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        near = write_table(_estimated(pairs, nodes), "pairs")
+        more = write_table(_verified(near, nodes, chunks), "links")
+        if more.limit(1).count():
+            # The components so far stand for the links so far.
+            links = comp.filter("node != comp").select(F.col("comp").alias("a"), F.col("node").alias("b")).union(more)
+            comp = components(links)
+        if full:
+            break
+        tried = tried.union(pairs)
 
     m = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = m.filter("n > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("least"))
