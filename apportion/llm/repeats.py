@@ -236,6 +236,50 @@ def nodes_of(ctx: np.ndarray, shared: np.ndarray, weight: np.ndarray, spec: Spec
     return out
 
 
+def window_keys(ctx: np.ndarray, least: int, spec: Spec) -> np.ndarray:
+    """For each context and each ``a`` from ``least`` on, a hash of the window that starts ``a`` before the anchor."""
+    symbols = np.ascontiguousarray(ctx[:, :-2]).view(spec.kind).astype(U)
+    keys = np.empty((len(ctx), spec.before + 1 - least), U)
+    back, ahead = np.zeros(len(ctx), U), np.zeros(len(ctx), U)
+    for a in range(spec.before + 1):
+        if a:
+            back = seq.mix(back * U(0x9E3779B97F4A7C15) + symbols[:, spec.window + a - 1] + U(1))
+        if a >= least:
+            keys[:, a - least] = back
+    for depth in range(1, spec.window - least + 1):
+        ahead = seq.mix(ahead * U(0x9E3779B97F4A7C15) + symbols[:, depth - 1] + U(1))
+        if depth >= spec.gram:
+            i = spec.window - depth - least
+            keys[:, i] = seq.mix(seq.mix(keys[:, i]) * U(0xD1342543DE82EF95) + ahead)
+    return keys
+
+
+def _across(runs: list, weights: list[np.ndarray], parted: list[np.ndarray], found: list[np.ndarray], spec: Spec) -> None:
+    """Add to ``found`` the windows of nodes that lie in several groups of contexts: those of depths under ``parted``."""
+    picked = [np.flatnonzero(p) for p in parted]
+    depth = np.concatenate([p[i] for p, i in zip(parted, picked, strict=True)]).astype(np.int64)
+    if not len(depth):
+        return
+    least = spec.window - int(depth.max()) + 1
+    keys = np.concatenate([window_keys(rows[i], least, spec) for (rows, _), i in zip(runs, picked, strict=True)])
+    la, ra = (np.concatenate([rows[i, c] for (rows, _), i in zip(runs, picked, strict=True)]).astype(np.int64) for c in (-2, -1))
+    own = np.concatenate([w[i] for w, i in zip(weights, picked, strict=True)])
+    got = np.concatenate([f[i] for f, i in zip(found, picked, strict=True)])
+    for a in range(least, spec.before + 1):
+        fits = np.flatnonzero((la >= a) & (ra >= spec.window - a) & (depth > spec.window - a))
+        if not len(fits):
+            continue
+        order = fits[np.argsort(keys[fits, a - least], kind="stable")]
+        key = keys[order, a - least]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        total = np.repeat((np.minimum if spec.smaller else np.add).reduceat(own[order], first), np.diff(np.append(first, len(order))))
+        ok = order[(total < own[order]) if spec.smaller else (total > 1)]
+        got[ok, 0] = np.where(got[ok, 1] < 0, a, np.minimum(got[ok, 0], a))
+        got[ok, 1] = np.maximum(got[ok, 1], a)
+    for f, i, g in zip(found, picked, np.split(got, np.cumsum([len(i) for i in picked])[:-1]), strict=True):
+        f[i] = g
+
+
 def _answer(pdf: pd.DataFrame, spec: Spec) -> pd.DataFrame:
     """The runs of a bucket to, for each context of each run, the least and the greatest ``a`` (greatest -1: none)."""
     weights = [np.frombuffer(w, "<i8") for w in pdf.weight]
@@ -243,8 +287,9 @@ def _answer(pdf: pd.DataFrame, spec: Spec) -> pd.DataFrame:
     for f in found:
         f[:, 1] = -1
     runs = [front_decode(r, len(w), spec.width) for r, w in zip(pdf.run, weights, strict=True)]
-    for ctx, shared, run, index in spec.order(runs, spec):
-        # ctx: in order, repeated where several runs have it; run, index: whose it is.
+    parted = [np.zeros(len(w), np.int8) for w in weights]
+    for ctx, shared, run, index, *depth in spec.order(runs, spec):
+        # ctx: in order, repeated where several runs have it; run, index: whose it is; depth: nodes under it lie in other groups too.
         new = shared < spec.width
         new[0] = True
         which = np.cumsum(new) - 1
@@ -260,6 +305,9 @@ def _answer(pdf: pd.DataFrame, spec: Spec) -> pd.DataFrame:
         for r in np.unique(run):
             k = run == r
             found[r][index[k], 0], found[r][index[k], 1] = lo[k], np.where(some[k], hi[k], -1)
+            if depth:
+                parted[r][index[k]] = depth[0][k]
+    _across(runs, weights, parted, found, spec)
     return pd.DataFrame({"chunk": pdf.chunk, "bucket": pdf.bucket, "mask": [f.astype("i1").tobytes() for f in found]})
 
 

@@ -6,7 +6,8 @@ trees. A bucket's suffixes are split by prefixes of growing length into groups
 of at most GROUP suffixes (a group whose prefix is a whole window is one node and
 is not split). Each group's tree is held as its sorted suffixes with their common
 prefixes; its deep internal nodes, those of a window's depth less what lies
-before the anchor, are the repeats.
+before the anchor, are the repeats. Nodes shallower than the prefix by which a
+group was parted lie in several groups; their places are summed over all of them.
 
 Words are 64-bit hashes here: two different windows count as equal only if all
 hashes agree.
@@ -33,8 +34,11 @@ WINDOW, GRAM = 35, 12
 GROUP = 100_000
 
 
-def split(rows: np.ndarray, at: np.ndarray, depth: int, spec: repeats.Spec, most: int = 0) -> Iterator[np.ndarray]:
-    """Row numbers of groups that share a prefix of ``depth`` symbols or are put together with others, at most ``most`` a group."""
+def split(rows: np.ndarray, at: np.ndarray, depth: int, spec: repeats.Spec, most: int = 0, parted: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Row numbers of groups that share a prefix of ``depth`` symbols or are put together with others, at most ``most`` a group.
+
+    ``parted`` gets, for each row whose prefix is parted by longer ones, the length of these: shallower nodes lie in several groups.
+    """
     if len(at) <= (most or GROUP):
         yield at
         return
@@ -51,7 +55,10 @@ def split(rows: np.ndarray, at: np.ndarray, depth: int, spec: repeats.Spec, most
     for e, c in zip(ends, count, strict=True):
         part = at[by[e - c : e]]
         if c > (most or GROUP):
-            yield from split(rows, part, min(spec.window, depth + 6), spec, most)
+            deeper = min(spec.window, depth + 6)
+            if parted is not None:
+                parted[part] = deeper
+            yield from split(rows, part, deeper, spec, most, parted)
             continue
         if n + c > (most or GROUP):
             yield np.concatenate(held)
@@ -66,12 +73,13 @@ def order(runs: list[tuple[np.ndarray, np.ndarray]], spec: repeats.Spec) -> Iter
     rows = np.concatenate([r for r, _ in runs])
     run = np.repeat(np.arange(len(runs)), [len(r) for r, _ in runs])
     index = np.concatenate([np.arange(len(r)) for r, _ in runs])
-    for at in split(rows, np.arange(len(rows)), spec.gram, spec):
+    parted = np.zeros(len(rows), np.int8)
+    for at in split(rows, np.arange(len(rows)), spec.gram, spec, parted=parted):
         at = at[np.argsort(rows[at].view(f"V{spec.width}").ravel(), kind="stable")]
         ctx = rows[at]
         differ = ctx[1:] != ctx[:-1]
         shared = np.concatenate(([0], np.where(differ.any(1), differ.argmax(1), spec.width)))
-        yield ctx, shared, run[at], index[at]
+        yield ctx, shared, run[at], index[at], parted[at]
 
 
 SPEC = repeats.Spec(WINDOW, GRAM, words=True, smaller=False, order=order)

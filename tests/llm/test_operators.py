@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +219,40 @@ def test_trees_are_split():
     assert sorted(np.concatenate(parts)) == list(range(500)) and max(map(len, parts)) <= 40
 
 
+@pytest.mark.parametrize("group", [1, 5, 40, 100_000])
+def test_split_trees_lose_no_window(monkeypatch, group):
+    """Contexts of one very common 12-word line, with shared words before and after it: windows cross the groups that the line's trees are split into."""
+    rng, spec = np.random.default_rng(1), substring.SPEC
+    line = rng.integers(100, 200, 12)
+    texts = []
+    for _ in range(150):
+        before, after = rng.integers(1000, 1 << 40, 40), rng.integers(1000, 1 << 40, 40)
+        before[40 - rng.integers(41) :], after[: rng.integers(41)] = 7, 8  # a shared stretch next to the line, then own words
+        texts.append(np.concatenate((before[rng.integers(40) :], line, after[: rng.integers(41)])).astype("u8"))
+    at = [int(np.flatnonzero(t == line[0])[0]) for t in texts]
+    runs, weights, back = [], [], []
+    for part in (range(50), range(50, 150)):
+        ends = np.cumsum([len(texts[i]) for i in part])
+        begin = ends - [len(texts[i]) for i in part]
+        c = repeats.Chunk(None, None, [], np.concatenate([texts[i] for i in part]), begin, ends)
+        ctx = repeats._contexts(c, begin + [at[i] for i in part], spec)
+        _, one, which, n = np.unique(repeats._void(ctx), return_index=True, return_inverse=True, return_counts=True)
+        runs.append(repeats.front_code(ctx[one]))
+        weights.append(n.astype("<i8").tobytes())
+        back.append(which)
+    monkeypatch.setattr(substring, "GROUP", group)
+    out = repeats._answer(pd.DataFrame({"chunk": [0, 1], "bucket": [0, 0], "run": runs, "weight": weights}), spec)
+    got = np.concatenate([np.frombuffer(m, "i1").reshape(-1, 2)[w] for m, w in zip(out["mask"], back, strict=True)])
+    windows = [{a: tuple(t[i - a : i - a + 35]) for a in range(24) if a <= i and i - a + 35 <= len(t)} for t, i in zip(texts, at, strict=True)]
+    count = Counter((a, w) for ws in windows for a, w in ws.items())
+    some = 0
+    for g, ws in zip(got.tolist(), windows, strict=True):
+        hit = [a for a, w in ws.items() if count[a, w] > 1]
+        some += bool(hit)
+        assert g[1] == max(hit, default=-1) and (not hit or g[0] == min(hit))
+    assert 30 < some < 150
+
+
 # 6, 10
 
 
