@@ -40,6 +40,8 @@ CANDIDATES, ENTRIES = 4_000, 200
 STEM = range(4, 10)
 SUPPORT, PENALTY, LEAST_GAIN = 4, 2, 3
 THRESHOLD = 0.3
+#: Words after a negation that it rewrites.
+REACH = 3
 
 # Seeds of the lexicon.
 INSULTS = "idiot moron imbecile scum loser pathetic worthless disgusting stupid".split()
@@ -96,7 +98,7 @@ def _reported() -> Transducer:
     return Transducer(arcs)
 
 
-def _negated(reach: int = 3) -> Transducer:
+def _negated(reach: int = REACH) -> Transducer:
     arcs: Arcs = {}
     for s in range(reach + 1):
         nxt = max(0, s - 1)
@@ -128,6 +130,8 @@ def _weights() -> Transducer:
 
 
 _WORD, _CLAUSE = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?;\n]+")
+#: After REACH other words in a row, more of them change neither state nor weight.
+_IDLE = re.compile(f"x{{{REACH + 1},}}")
 
 
 class Grammar:
@@ -138,10 +142,11 @@ class Grammar:
         self.machine = _reported() @ _negated() @ _target() @ _weights()
         self.classes = {w: c for c, ws in (("y", TARGETS), ("n", NEGATIONS), ("r", REPORTS), ("t", THREATS)) for w in ws}
         stems = sorted({*entries, *THREATS}, key=lambda s: (-len(s), s))
+        self.longest = max(map(len, entries), default=0)
         self.hint = re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, stems)) + ")")
 
     def word(self, w: str) -> tuple[str, float]:
-        found = max((self.entries[w[:n]] for n in range(2, len(w) + 1) if w[:n] in self.entries), default=0.0)
+        found = max((self.entries[w[:n]] for n in range(2, min(len(w), self.longest) + 1) if w[:n] in self.entries), default=0.0)
         return ("i", found) if found else (self.classes.get(w, "x"), 1.0 if w in THREATS else 0.0)
 
     def clause(self, text: str) -> float:
@@ -151,21 +156,16 @@ class Grammar:
             read, most = read + c, max(most, p)
         if not most:
             return 0.0
-        return min(0.99, self.machine.best(read) * most)
+        return min(0.99, self.machine.best(_IDLE.sub("x" * REACH, read)) * most)
 
     def score(self, text: str | None) -> float:
         low = (text or "").lower()
         if not self.hint.search(low):
             return 0.0
         clean = 1.0
-        at = 0
-        for m in self.hint.finditer(low):
-            if m.start() < at:
-                continue
-            left = max((x.end() for x in _CLAUSE.finditer(low, max(0, m.start() - 400), m.start())), default=max(0, m.start() - 400))
-            end = _CLAUSE.search(low, m.end())
-            at = end.start() if end else len(low)
-            clean *= 1 - self.clause(low[left : min(at, m.end() + 400)])
+        for part in _CLAUSE.split(low):
+            if self.hint.search(part):
+                clean *= 1 - self.clause(part)
         return 1 - clean
 
 

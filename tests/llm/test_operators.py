@@ -354,6 +354,18 @@ def test_clauses():
     assert s("you zorblau.") > s("the zorblau.") and s("I will hurt you.") > s("it may hurt.") and s("a zorblau. b zorblen.") > s("a zorblau.")
 
 
+def test_long_clauses_are_scored_whole():
+    g = toxicity.Grammar({"zorb": 0.95})
+    s, far = g.score, "aa " * 5000
+    assert s(f"killers {far} zorblau") == s("killers aa zorblau") > 0
+    assert s(f"they said {far} a zorblau") == s("they said a zorblau") < s("a zorblau")
+    assert s(f"a zorblau {far} you") == s("a zorblau you") > s("a zorblau")
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        w = "".join(rng.choice(list("xxxxxxxxxxityn" "r"), 60))
+        assert g.machine.best(w) == g.machine.best(toxicity._IDLE.sub("xxx", w))
+
+
 # 8
 
 
