@@ -42,7 +42,7 @@ ENDPOINT = r"""(?i:https?|ftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "value": VALUE, "login": LOGIN, "endpoint": ENDPOINT}
 BASE = 3
 #: Cheap tests that a text must pass before a kind's pattern is split at.
-HINT = {"assign": r"(?i:passw|secret|token|api_?key)", "access": "AKIA", "hex": HEX, "value": r"[0-9][A-Za-z]|[A-Za-z][0-9]", "login": r"(?i:key|client|account|user|login)", "endpoint": "://"}
+HINT = {"assign": r"(?i:passw|secret|token|api_?key)", "access": "AKIA", "hex": HEX, "value": r"[A-Za-z0-9+/_-]{16,}", "login": r"(?i:key|client|account|user|login)", "endpoint": "://"}
 MASK = "[SECRET]"
 
 

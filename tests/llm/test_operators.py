@@ -56,6 +56,14 @@ def test_weak_parts_need_complements(spark):
     assert [sorted(x.split(":")[0] for x in got[i].spans.split(",") if x) for i in range(6)] == [[], ["login", "value"], [], [], ["value"], ["endpoint", "login", "value"]]
 
 
+def test_values_without_letters_next_to_digits(spark):
+    v = "AbCdEfGh-12345678-IJKL"
+    d = make(spark, [(1, f"user=joe {v}"), (2, f"https://h.example.com/ user=joe {v}"), (3, f"user=joe {v} a1"), (4, v)])
+    got = table(secrets.scan(d))
+    assert [sorted(x.split(":")[0] for x in got[i].spans.split(",") if x) for i in (1, 2, 3, 4)] == [["login", "value"], ["endpoint", "login", "value"], ["login", "value"], []]
+    assert {r.doc_id: v in r.text for r in secrets.redact(d).collect()} == {1: False, 2: False, 3: False, 4: True}
+
+
 def test_redaction(spark):
     d = make(spark, [(1, "a password=abcdef1 é token=0123456789abcdef0123456789abcdef z"), (2, "clean"), (None, None)])
     got = secrets.redact(d)
