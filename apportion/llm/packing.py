@@ -9,8 +9,8 @@ any more, or one segment is left, the rest of the sequence is filled with the
 head of the largest item, which stays with its tail. What remains at a task's
 end is cut at powers of two, which need no padding.
 
-In the query every token bears loss; for instruction data ``loss`` counts the
-answers' tokens.
+In ``pack`` every token bears loss, so the third limit is idle there; counting the
+answers' tokens of instruction data is not built, though ``Packer`` has room for it.
 
 Each task packs its own documents, HELD tails at a time, and numbers its
 sequences from its partition's number up, so nothing is shuffled and a task that
