@@ -5,7 +5,9 @@ encoding is the segmentation whose pieces' scores have the greatest sum (of
 equals, the one whose last pieces are longest). The installed model file is of
 the pair-merging kind and its scores are merge ranks, so a piece of rank r has
 the score -round(100 * ln(r + 2)), the code length of its place under Zipf's law;
-``model_proto`` gives the same model to the sentencepiece library.
+``model_proto`` gives the same model to the sentencepiece library. So the ids are
+those of that unigram model, not those of the file's own pair merging, which is
+no sum of scores; both decode to the same text.
 
 In this algebra (max, +) a stretch of text is a transfer matrix from the state at
 its start to the state at its end; the state is how many characters of the
@@ -15,8 +17,11 @@ on its own, the matrices are combined associatively (``scan``), which gives the
 scores of the states before each chunk; from these each chunk works out, on its
 own, which state at its start each state at its end comes from, those maps are
 followed from the text's end, and each chunk is then traced back on its own. Within a
-stretch, a blank after another character always starts a piece, which the
-vocabulary is checked for; so words are encoded apart and repeated words once.
+stretch, a blank after another character always starts a piece, and so does a
+mark that no piece has after a letter, which the vocabulary is checked for; so
+units between them are encoded apart (``units``), repeated ones once, and new
+ones together: their best segmentations advance by one character a step.
+Pieces are looked up by 64-bit hashes there.
 
 As in the library: a blank is U+2581, a text that is not empty gets one in
 front, and a character without a piece becomes its bytes.
@@ -31,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -39,13 +45,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from apportion.llm import exchange, units
 from apportion.llm.common import plain, write_table
+from apportion.llm.seq import mix, ragged
 
 CHUNK = 1 << 15
 BLANK = "▁"
 NEVER = -(1 << 60)
-#: Words that a worker keeps.
-CACHE = 300_000
+U = np.uint64
+#: Characters of new units that are segmented together, and slots of the table of pieces.
+AT_ONCE, _SLOTS = 1 << 18, 1 << 18
+_NONE = -(1 << 30)
+_LETTERS = string.ascii_letters
 
 
 def default_path() -> str:
@@ -71,17 +82,145 @@ def model_proto(path: str):
 
 
 class Unigram:
+    """Texts here have a plain blank for U+2581."""
+
     def __init__(self, path: str):
         m = model_proto(path)
-        self.score = {p.piece: int(p.score) for p in m.pieces if p.type == 1}
-        self.id = {p.piece: i for i, p in enumerate(m.pieces) if p.type == 1}
+        self.score = {p.piece.replace(BLANK, " "): int(p.score) for p in m.pieces if p.type == 1}
+        self.id = {p.piece.replace(BLANK, " "): i for i, p in enumerate(m.pieces) if p.type == 1}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
-        self.back = {i: p.piece.replace(BLANK, " ").encode() for i, p in enumerate(m.pieces) if p.type == 1} | {i: bytes([b]) for b, i in self.byte.items()}
         self.longest = max(map(len, self.score))
         self.unknown = min(self.score.values()) - 10
-        if any(BLANK in p.lstrip(BLANK) for p in self.score):
+        if any(" " in p.lstrip(" ") for p in self.score):
             raise ValueError("a piece has a blank after another character")
-        self.units: dict[str, tuple[bytes, bytes]] = {}
+        back = [b""] * len(m.pieces)
+        for p, i in self.id.items():
+            back[i] = p.encode()
+        for b, i in self.byte.items():
+            back[i] = bytes([b])
+        self.width = np.array([len(x) for x in back])
+        self.at = np.cumsum(self.width) - self.width
+        self.bytes = np.frombuffer(b"".join(back), np.uint8)
+        self.of_byte = np.array([self.byte[b] for b in range(256)], np.uint32)
+        # A unit also ends between a letter and a mark that no piece has after a letter.
+        joined = {y for p in self.score for x, y in zip(p, p[1:], strict=False) if x in _LETTERS}
+        marks = bytes(c for c in range(33, 127) if chr(c) not in _LETTERS and chr(c) not in joined)
+        self.kinds = units.table(b" ", _LETTERS.encode(), marks)
+        self._hash_pieces()
+        self.units = units.Units(self._learn)
+
+    def _hash_pieces(self) -> None:
+        self.keys, self.piece = np.zeros(_SLOTS, U), np.zeros(_SLOTS, np.int64)
+        by_length: dict[int, list[str]] = {}
+        for p in self.id:
+            by_length.setdefault(len(p), []).append(p)
+        for n, ps in by_length.items():
+            codes = np.frombuffer("".join(ps).encode("utf-32-le"), "<u4").reshape(len(ps), n)
+            h = np.zeros(len(ps), U)
+            for k in range(n):
+                h = _step(h, codes[:, k])
+            for key, p in zip(_key(h, n).tolist(), ps, strict=True):
+                at = key & (_SLOTS - 1)
+                while self.keys[at]:
+                    at = (at + 1) & (_SLOTS - 1)
+                self.keys[at], self.piece[at] = key, self.id[p]
+        self.scores = np.full(len(self.width), _NONE, np.int64)
+        for p, i in self.id.items():
+            self.scores[i] = self.score[p]
+
+    def _pieces(self, h: np.ndarray, n: int) -> np.ndarray:
+        """The ids of the pieces of n characters with the hashes h; -1 for none."""
+        key = _key(h, n)
+        out = np.full(len(h), -1, np.int64)
+        todo, at = np.arange(len(h)), (key & U(_SLOTS - 1)).astype(np.int64)
+        while len(todo):
+            got = self.keys[at]
+            same = got == key[todo]
+            out[todo[same]] = self.piece[at[same]]
+            on = (got != 0) & ~same
+            todo, at = todo[on], (at[on] + 1) & (_SLOTS - 1)
+        return out
+
+    def _learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        texts = [u.decode() for u in new]
+        n = np.array([len(t) for t in texts], np.int64)
+        order = np.argsort(-n, kind="stable")
+        ids, counts, scores = [], np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        ends = np.cumsum(n[order])
+        at = 0
+        while at < len(order):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+            own = order[at:to]
+            got, counts[own], scores[own] = self._segment([texts[i] for i in own.tolist()], n[own])
+            ids.append(got)
+            at = to
+        flat, by = np.concatenate(ids), counts[order]
+        first = np.zeros(len(new), np.int64)
+        first[order] = np.cumsum(by) - by
+        return flat[ragged(first, counts)], counts, scores
+
+    def _segment(self, texts: list[str], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best segmentations of texts in descending order of length: all ids, their numbers, the scores. All texts advance together."""
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        first, most = np.cumsum(n) - n, min(self.longest, int(n[0]))
+        left = np.repeat(first + n, n) - np.arange(len(codes))
+        # piece[i, most - l]: the piece of l characters that starts at i.
+        piece = np.full((len(codes), most), -1, np.int32)
+        h, rows = np.zeros(len(codes), U), np.arange(len(codes))
+        for length in range(1, most + 1):
+            keep = left[rows] >= length
+            rows, h = rows[keep], h[keep]
+            h = _step(h, codes[rows + length - 1])
+            piece[rows, most - length] = self._pieces(h, length)
+        score = np.where(piece >= 0, self.scores[piece], _NONE)
+        score[:, most - 1] = np.maximum(score[:, most - 1], self.unknown)
+        best = np.full(len(codes) + len(n), _NONE, np.int64)
+        came = np.zeros(len(codes) + len(n), np.int32)
+        base = first + np.arange(len(n))
+        best[base] = 0
+        for j in range(1, int(n[0]) + 1):
+            m = int(np.searchsorted(-n, -j, "right"))
+            some = min(most, j)
+            lengths = np.arange(some, 0, -1)  # of equals the longest
+            got = best[base[:m, None] + j - lengths] + score[first[:m, None] + j - lengths, most - lengths]
+            one = got.argmax(1)
+            best[base[:m] + j], came[base[:m] + j] = got[np.arange(m), one], lengths[one]
+        # Back from the ends, one piece of every text at a time.
+        at, live, steps = n.copy(), np.arange(len(n)), []
+        while len(live):
+            length = came[base[live] + at[live]].astype(np.int64)
+            at[live] -= length
+            begin = first[live] + at[live]
+            steps.append((live, begin, length, piece[begin, most - length]))
+            live = live[at[live] > 0]
+        owner, begin, length, got = (np.concatenate([x[k] for x in steps]) for k in range(4))
+        by = np.lexsort((begin, owner))
+        owner, begin, got = owner[by], begin[by], got[by].astype(np.int64)
+        width = np.ones(len(got), np.int64)
+        lost = np.flatnonzero(got < 0)
+        if len(lost):  # characters without a piece, as bytes
+            c = codes[begin[lost]]
+            width[lost] = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+        ids = np.repeat(got, width).astype(np.uint32)
+        if len(lost):
+            raw = codes[begin[lost]].astype("<u4").tobytes().decode("utf-32-le").encode()
+            ids[ragged((np.cumsum(width) - width)[lost], width[lost])] = self.of_byte[np.frombuffer(raw, np.uint8)]
+        return ids, np.bincount(owner, width, len(n)).astype(np.int64), best[base + n]
+
+    def segment(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For texts whose borders are borders of units: all ids, the number of ids and the score of each text."""
+        n = np.array([len(r) for r in raw], np.int64)
+        ends = np.cumsum(n)
+        b = np.frombuffer(b"".join(raw), np.uint8)
+        starts = units.cuts(b, (ends - n)[n > 0], self.kinds)
+        ids, size, score = self.units.look(b, starts, np.append(starts[1:], len(b))[: len(starts)])
+        i, j = np.searchsorted(starts, ends - n), np.searchsorted(starts, ends)
+        sums = [np.concatenate(([0], np.cumsum(x))) for x in (size, score)]
+        return ids, sums[0][j] - sums[0][i], sums[1][j] - sums[1][i]
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids."""
+        return self.bytes[ragged(self.at[ids], self.width[ids])]
 
     def _forward(self, text: str, starts: dict[int, int], stop: int) -> tuple[list[int], list[int]]:
         """Best score of each position of text, from starts (position -> score), by pieces that start before ``stop``; where the last piece began."""
@@ -108,53 +247,18 @@ class Unigram:
         got = self.id.get(piece)
         return [got] if got is not None else [self.byte[b] for b in piece.encode()]
 
-    def path(self, text: str, begin: int, end: int) -> list[int]:
-        """The ids of the best segmentation of text[begin:end]."""
-        _, came = self._forward(text[:end], {begin: 0}, end)
-        ids: list[int] = []
-        while end > begin:
-            ids[:0] = self._ids(text[came[end] : end])
-            end = came[end]
-        return ids
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.back.__getitem__, ids))
-
-    def words(self, units: list[str]) -> tuple[np.ndarray, list[tuple[bytes, bytes]]]:
-        """For each unit its number among the distinct ones; and their ids and decoded bytes."""
-        which, uniq = pd.factorize(np.array(units, dtype=object))
-        if len(self.units) > CACHE:
-            self.units.clear()
-        out = []
-        for u in uniq:
-            got = self.units.get(u)
-            if got is None:
-                ids = self.path(u, 0, len(u))
-                got = np.array(ids, "<u4").tobytes(), self.decode(ids)
-                if len(u) < 64:
-                    self.units[u] = got
-            out.append(got)
-        return which, out
-
     def matrix(self, text: str, n: int) -> np.ndarray:
         """The transfer matrix of the first n characters; the rest of text is what follows them, ``longest - 1`` characters at most."""
         k = self.longest
         out = np.full((k, k), NEVER, np.int64)
-        cuts = [m.start() + 1 for m in _START.finditer(text, 0, n)]
-        cuts = [c for c in cuts if c < n]
-        if not cuts:
+        head, tail = _borders(text, n)
+        if head < 0:
             for d in range(min(k, n + 1)):
                 out[d] = self._last(text, {d: 0}, n)
             for d in range(n + 1, k):  # a piece that covers the whole chunk
                 out[d, d - n] = 0
             return out
-        head, tail = cuts[0], cuts[-1]
-        middle = 0
-        if tail > head:
-            units = [text[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
-            which, uniq = pd.factorize(np.array(units, dtype=object))
-            each = np.array([self._forward(u, {0: 0}, len(u))[0][len(u)] for u in uniq])
-            middle = int(each[which].sum())
+        middle = int(self.segment([text[head:tail].encode()])[2][0]) if tail > head else 0
         last = self._last(text[tail:], {0: 0}, n - tail)
         for d in range(min(k, head + 1)):
             s = self._forward(text[:head], {d: 0}, head)[0][head]
@@ -174,11 +278,11 @@ class Unigram:
         """The best path to ``end`` from the states at the start, whose scores are vec: the state it comes from, and its ids."""
         starts = {d: int(v) for d, v in enumerate(vec) if v > NEVER and d <= end}
         _, came = self._forward(text[:end], starts, end)
-        ids: list[int] = []
+        pieces = []
         while came[end] >= 0:
-            ids[:0] = self._ids(text[came[end] : end])
+            pieces.append(text[came[end] : end])
             end = came[end]
-        return end, ids
+        return end, [i for p in reversed(pieces) for i in self._ids(p)]
 
     def sources(self, text: str, n: int, vec: np.ndarray) -> np.ndarray:
         """For each state at the chunk's end, the state at its start from which the best path comes (-1: none)."""
@@ -197,21 +301,40 @@ class Unigram:
             out[e] = at
         return out
 
-    def trace(self, text: str, n: int, vec: np.ndarray, d_out: int) -> tuple[bytes, bytes]:
-        """The ids and bytes of the pieces that start in the chunk, given the scores of the states before it and the state after it."""
-        cuts = [m.start() + 1 for m in _START.finditer(text, 0, n) if m.start() + 1 < n]
-        ends = [*cuts, n + d_out]
-        ids = self._back(text, vec, ends[0])[1]
-        for i, j in zip(ends, ends[1:], strict=False):
-            ids += self.path(text[i:j], 0, j - i)
-        return np.array(ids, "<u4").tobytes(), self.decode(ids)
+    def trace(self, text: str, n: int, vec: np.ndarray, d_out: int) -> np.ndarray:
+        """The ids of the pieces that start in the chunk, given the scores of the states before it and the state after it."""
+        head, tail = _borders(text, n)
+        end = n + d_out
+        if head < 0:
+            return np.array(self._back(text, vec, end)[1], np.uint32)
+        first = np.array(self._back(text, vec, head)[1], np.uint32)
+        return np.concatenate((first, self.segment([text[head:tail].encode(), text[tail:end].encode()])[0]))
+
+
+def _step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return h * U(0x9E3779B97F4A7C15) + c.astype(U) + U(1)
 
 
-_START = re.compile(f"[^{BLANK}](?={BLANK})")
-_UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+def _key(h: np.ndarray, n: int) -> np.ndarray:
+    return mix(h ^ U(n * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)) | U(1 << 63)
+
+
+_START = re.compile("[^ ](?= )")
 _MODELS: dict[str, Unigram] = {}
 
 
+def _borders(text: str, n: int) -> tuple[int, int]:
+    """The first and the last start of a unit after another, within the first n characters; -1 if there is none."""
+    first = _START.search(text, 0, n)
+    if not first or first.start() + 1 >= n:
+        return -1, -1
+    last = n - 1
+    while not (text[last] == " " and text[last - 1] != " "):
+        last -= 1
+    return first.start() + 1, last
+
+
 def model(path: str) -> Unigram:
     if path not in _MODELS:
         _MODELS[path] = Unigram(path)
@@ -219,7 +342,7 @@ def model(path: str) -> Unigram:
 
 
 def normal(text: str) -> str:
-    return BLANK + text.replace(" ", BLANK) if text else ""
+    return " " + text.replace(BLANK, " ") if text else ""
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -255,30 +378,20 @@ def follow(sources: np.ndarray) -> np.ndarray:
 SHORT = "doc_id long, n_chars long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
 
 
-def _row(doc, text: str, raw: bytes, back: bytes) -> tuple:
-    back = back[1:] if text else back  # the blank in front
-    return doc, len(text), len(raw) >> 2, zlib.crc32(raw), hashlib.sha256(back).hexdigest(), back == text.replace(BLANK, " ").encode()
-
-
 def _short(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         u = model(path)
-        for batch in batches:
-            for k in range(0, len(batch), 2000):
-                b = batch.iloc[k : k + 2000]
-                units: list[str] = []
-                ends = []
-                for t in b.text:
-                    # One blank between words is the usual case.
-                    units += [BLANK + w for w in t.split(" ")] if "  " not in t and t[:1] != " " and t[-1:] != " " and BLANK not in t and t else _UNIT.findall(normal(t))
-                    ends.append(len(units))
-                which, got = u.words(units) if units else (np.zeros(0, int), [])
-                at, rows = 0, []
-                for doc, t, e in zip(b.doc_id, b.text, ends, strict=True):
-                    own = [got[w] for w in which[at:e]]
-                    rows.append(_row(None if pd.isna(doc) else int(doc), t, b"".join([g[0] for g in own]), b"".join([g[1] for g in own])))
-                    at = e
-                yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"]).astype({"doc_id": "Int64"})
+        for _, b in exchange.numbered(batches):
+            raw = [normal(t).encode() for t in b.text]
+            ids, counts, _ = u.segment(raw)
+            back, ids = u.decode(ids), ids.astype("<u4")
+            widths = np.concatenate(([0], np.cumsum(u.width[ids])))
+            rows, at = [], 0
+            for doc, t, r, n in zip(b.doc_id, b.text, raw, counts.tolist(), strict=True):
+                got = back[widths[at] : widths[at + n]].tobytes()[1:]  # without the blank in front
+                rows.append((None if pd.isna(doc) else int(doc), len(t), n, zlib.crc32(ids[at : at + n]) if n else 0, hashlib.sha256(got).hexdigest(), got == r[1:]))
+                at += n
+            yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"]).astype({"doc_id": "Int64"})
 
     return run
 
@@ -336,14 +449,14 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
         u = model(path)
         for b in batches:
             got = [u.trace(t, n, np.frombuffer(v, "<i8"), o) for t, n, v, o in zip(b.text, b.n, b.vec, b.d_out, strict=True)]
-            yield pd.DataFrame({"row": b.row, "doc_id": b.doc_id, "k": b.k, "text": [t[:n] for t, n in zip(b.text, b.n, strict=True)], "ids": [g[0] for g in got], "back": [g[1] for g in got]})
+            yield pd.DataFrame({"row": b.row, "doc_id": b.doc_id, "k": b.k, "text": [t[:n] for t, n in zip(b.text, b.n, strict=True)], "ids": [g.astype("<u4").tobytes() for g in got], "back": [u.decode(g).tobytes() for g in got]})
 
     def together(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
         s = "".join(pdf.text)
         raw, back = b"".join(pdf.ids), b"".join(pdf.back)[1:]
         out = pd.DataFrame({"doc_id": pdf.doc_id.iloc[:1].astype("Int64"), "n_chars": [len(s) - 1], "n_tokens": [len(raw) >> 2], "ids_crc32": [zlib.crc32(raw)], "decoded_sha256": [hashlib.sha256(back).hexdigest()]})
-        return out.assign(same=[hashlib.sha256(back).hexdigest() == hashlib.sha256(s[1:].replace(BLANK, " ").encode()).hexdigest()])
+        return out.assign(same=[hashlib.sha256(back).hexdigest() == hashlib.sha256(s[1:].encode()).hexdigest()])
 
     long = cut.join(at, ["row", "k"]).mapInPandas(trace, "row long, doc_id long, k long, text string, ids binary, back binary")
     long = long.groupBy("row").applyInPandas(together, SHORT.replace("round_trip", "same"))
