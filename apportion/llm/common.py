@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +18,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own where none is named."""
+    """The shared folder that the session names; on a single machine, one of our own where none is named."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(spark, "_apportion_dir", None) or tempfile.mkdtemp(prefix="apportion-")
         spark._apportion_dir = found
     return found
@@ -32,13 +37,55 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def homes(spark: SparkSession) -> int:
+    """Buckets of a table written by ``write_bucketed``."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def write_bucketed(df: DataFrame, label: str, n: int) -> DataFrame:
+    """As ``write_table``, in n buckets by ``chunk``: what is joined or grouped by chunk later need not move these rows again.
+
+    Chunks are numbered so that those of a task share a bucket (``exchange.numbered``): a task writes one file.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", f"{work_dir(spark).rstrip('/')}/{name}").bucketBy(n, "chunk").saveAsTable(name)
+    return spark.table(name)
+
+
+def tidy(results: Iterator) -> Iterator:
+    """The results; afterwards the worker gives memory that it no longer needs back."""
+    try:
+        yield from results
+    finally:
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of an Arrow batch on its way to Python, unless the session has a limit of its own.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Long texts make batches of a fixed number of rows large; workers and executors need memory for several of them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def plain(docs: DataFrame) -> DataFrame:
     """doc_id and text alone; a null text counts as empty. Extra columns go, so no name can clash."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

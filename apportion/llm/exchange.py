@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of runs that a bucket's task should meet.
-BUCKET_BYTES = 8 << 20
-LEAST_BITS, MOST_BITS = 8, 20
+BUCKET_BYTES = 4 << 20
+LEAST_BITS, MOST_BITS = 8, 30
 
 RUN = "bucket int, chunk long, run binary"
 MASK = "chunk long, bucket int, mask binary"
@@ -63,11 +63,39 @@ def shared(values: np.ndarray, bits: int, answers: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def numbered(batches: Iterator[pd.DataFrame], texts: str = "text", most: int = 1 << 21) -> Iterator[tuple[int, pd.DataFrame]]:
-    """Batches cut into chunks of about ``most`` characters, each with its number, the same whenever a task runs again."""
+def bucket_of(numbers: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of n that Spark gives to long values (its 32-bit Murmur hash, seed 42)."""
+    u = np.uint32
+
+    def turn(x: np.ndarray, k: int) -> np.ndarray:
+        return (x << u(k)) | (x >> u(32 - k))
+
+    v = numbers.astype(np.int64).view(np.uint64)
+    h = np.full(len(v), 42, u)
+    with np.errstate(over="ignore"):
+        for part in (v & np.uint64(0xFFFFFFFF), v >> np.uint64(32)):
+            k = turn(part.astype(u) * u(0xCC9E2D51), 15) * u(0x1B873593)
+            h = turn(h ^ k, 13) * u(5) + u(0xE6546B64)
+        h ^= u(8)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            h = (h ^ (h >> u(shift))) * u(factor)
+    return h.view(np.int32).astype(np.int64) % n
+
+
+def numbers(part: int, homes: int) -> Iterator[int]:
+    """Chunk numbers of a task, the same whenever it runs again; with ``homes`` buckets all of them belong to one."""
+    if homes < 2:
+        yield from range(part << 32, part + 1 << 32)
+    for first in range(part << 32, part + 1 << 32, 1 << 14):
+        at = np.arange(first, first + (1 << 14))
+        yield from at[bucket_of(at, homes) == part % homes].tolist()
+
+
+def numbered(batches: Iterator[pd.DataFrame], texts: str = "text", most: int = 1 << 21, homes: int = 0) -> Iterator[tuple[int, pd.DataFrame]]:
+    """Batches cut into chunks of about ``most`` characters, each with its number."""
     from pyspark import TaskContext
 
-    base, n = TaskContext.get().partitionId() << 32, 0
+    number = numbers(TaskContext.get().partitionId(), homes)
     held, size = [], 0
     for batch in batches:
         lengths = batch[texts].str.len().to_numpy()
@@ -78,10 +106,10 @@ def numbered(batches: Iterator[pd.DataFrame], texts: str = "text", most: int = 1
             size += int(lengths[at : at + fit].sum())
             at += fit
             if size >= most or at < len(batch):
-                yield base + n, pd.concat(held, ignore_index=True)
-                held, size, n = [], 0, n + 1
+                yield next(number), pd.concat(held, ignore_index=True)
+                held, size = [], 0
     if held:
-        yield base + n, pd.concat(held, ignore_index=True)
+        yield next(number), pd.concat(held, ignore_index=True)
 
 
 def text_bytes(docs: DataFrame) -> int:

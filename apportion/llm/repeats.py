@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from apportion.llm import exchange, seq
-from apportion.llm.common import plain, write_table
+from apportion.llm.common import homes, plain, tidy, write_bucketed, write_table
 
 U = np.uint64
 _NEVER = U(0xFFFFFFFFFFFFFFFF)
@@ -102,22 +102,39 @@ def _slide(x: np.ndarray, m: int, f: np.ufunc) -> np.ndarray:
     return f(x[: len(x) - (m - done)], x[m - done :]) if m > done else x
 
 
+#: Positions whose anchors are looked for at once.
+_AT_ONCE = 1 << 17
+
+
 def anchors(c: Chunk, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the anchors and the hashes of their grams."""
-    m, n = spec.before + 1, len(c.symbols)
-    none = np.zeros(0, np.int64), np.zeros(0, U)
-    if n < spec.window:
-        return none
-    grams = seq.gram_hashes(c.symbols, spec.gram)
+    n = len(c.symbols)
+    parts = [_anchors(c, spec, lo, min(n, lo + _AT_ONCE)) for lo in range(0, n, _AT_ONCE)] if n >= spec.window else []
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _anchors(c: Chunk, spec: Spec, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those in lo .. hi - 1, from the symbols that windows around them reach."""
+    m = spec.before + 1
+    a, b = max(0, lo - m + 1), min(len(c.symbols), hi + m + spec.gram)
+    grams = seq.gram_hashes(c.symbols[a:b], spec.gram)
+    if not len(grams):
+        return np.zeros(0, np.int64), np.zeros(0, U)
     np.minimum(grams, _NEVER - U(1), out=grams)
-    left = np.repeat(c.end, c.end - c.begin) - np.arange(n)  # symbols from here to the text's end
+    i, j = np.searchsorted(c.end, a, "right"), np.searchsorted(c.begin, b, "left")
+    left = np.repeat(c.end[i:j], np.clip(c.end[i:j], a, b) - np.clip(c.begin[i:j], a, b)) - np.arange(a, b)  # symbols from here to the text's end
     grams[left[: len(grams)] < spec.gram] = _NEVER
+    if len(grams) < m:
+        grams = np.concatenate((grams, np.full(m - len(grams), _NEVER)))
     low = _slide(grams, m, np.minimum)
     low[left[: len(low)] < spec.window] = 0  # no window starts here
     pad = np.zeros(m - 1, U)
     high = _slide(np.concatenate((pad, low, pad)), m, np.maximum)
     at = np.flatnonzero((high == grams) & (grams != _NEVER))
-    return at, grams[at]
+    at = at[(at + a >= lo) & (at + a < hi)]
+    return at + a, grams[at]
 
 
 def _contexts(c: Chunk, at: np.ndarray, spec: Spec) -> np.ndarray:
@@ -145,33 +162,36 @@ def front_code(rows: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(shared.tobytes() + rest.tobytes())
 
 
-def front_decode(blob: bytes, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and shared lengths."""
+def front_decode(blob: bytes, out: np.ndarray, shared: np.ndarray) -> None:
+    """Fill the rows, and the lengths that each shares with the one before."""
+    n, width = out.shape
+    if not n:
+        return
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    shared = raw[: 2 * n].view("<u2").astype(np.int64)
-    out = np.empty((n, width), np.uint8)
+    shared[:] = raw[: 2 * n].view("<u2")
     at = 2 * n
     for i, k in enumerate(shared.tolist()):
         out[i, :k] = out[i - 1, :k]
         out[i, k:] = raw[at : at + width - k]
         at += width - k
-    return out, shared
 
 
+#: An anchor's place in its chunk, its context's number, and whether the chunk alone tells that all its windows are repeated.
+PLACE = np.dtype([("at", "<u4"), ("context", "<u4"), ("full", "?")])
 CHUNKS = "chunk long, ids binary, nulls binary, lens binary, payload binary"
 ANSWERS = "chunk long, bucket int, mask binary"
 
 
-def chunked(docs: DataFrame) -> DataFrame:
+def chunked(docs: DataFrame, homes: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=3)
-        for chunk, b in exchange.numbered(batches, most=1 << 20):
+        for chunk, b in exchange.numbered(batches, most=1 << 20, homes=homes):
             texts = [t.encode() for t in b.text]
             null = b.doc_id.isna().to_numpy()
             ids = np.where(null, NULL_ID, b.doc_id.fillna(0)).astype("<i8")
             yield pd.DataFrame({"chunk": [chunk], "ids": [ids.tobytes()], "nulls": [np.packbits(null).tobytes()], "lens": [np.array([len(t) for t in texts], "<i8").tobytes()], "payload": [pack.compress(b"".join(texts))]})
 
-    return plain(docs).mapInPandas(run, CHUNKS)
+    return plain(docs).mapInPandas(lambda batches: tidy(run(batches)), CHUNKS)
 
 
 def _void(rows: np.ndarray) -> np.ndarray:
@@ -185,7 +205,7 @@ def _pick(row, answers: pd.DataFrame, spec: Spec, bits: int) -> pd.DataFrame:
     values, where, count = np.unique(grams, return_inverse=True, return_counts=True)
     hit = (exchange.shared(values, bits, answers) | (count > 1))[where]
     at, bucket = at[hit], (grams[hit] >> U(64 - bits)).astype(np.int64)
-    rows, places = [], np.zeros((len(at), 3), "<i8")
+    rows, places = [], np.zeros(len(at), PLACE)
     order = np.argsort(bucket, kind="stable")
     at, bucket = at[order], bucket[order]
     text = np.searchsorted(c.end, at, "right")
@@ -199,9 +219,8 @@ def _pick(row, answers: pd.DataFrame, spec: Spec, bits: int) -> pd.DataFrame:
             np.minimum.at(weight, back, ids[i:j])
         else:
             weight = n.astype("<i8")
-        places[i:j, 0], places[i:j, 1] = at[i:j], done + back
-        # 1: the context alone tells that all windows of this anchor are repeated.
-        places[i:j, 2] = ids[i:j] > weight[back] if spec.smaller else weight[back] > 1
+        places["at"][i:j], places["context"][i:j] = at[i:j], done + back
+        places["full"][i:j] = ids[i:j] > weight[back] if spec.smaller else weight[back] > 1
         rows.append((int(b), front_code(ctx[one]), weight.tobytes()))
         done += len(one)
     rows.append((-1, places.tobytes(), b""))
@@ -213,17 +232,20 @@ def _ranges(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return keys, first, first + count
 
 
-def nodes_of(ctx: np.ndarray, shared: np.ndarray, weight: np.ndarray, spec: Spec) -> np.ndarray:
-    """For distinct contexts in order, with the prefix each shares with the one before: for each and each ``a``, the weight of the window that starts ``a`` before the anchor (least id, or number of places)."""
-    n, size = len(ctx), spec.kind.itemsize
-    depth = np.minimum(shared // size, spec.window)
-    symbols = np.ascontiguousarray(ctx[:, :-2]).view(spec.kind).astype(U)
+def _symbol(ctx: np.ndarray, j: int, spec: Spec) -> np.ndarray:
+    """The j-th symbol of each context."""
+    size = spec.kind.itemsize
+    return np.ascontiguousarray(ctx[:, j * size : (j + 1) * size]).view(spec.kind).ravel().astype(U)
+
+
+def nodes_of(ctx: np.ndarray, shared: np.ndarray, weight: np.ndarray, spec: Spec) -> Iterator[tuple[int, np.ndarray]]:
+    """For distinct contexts in order, with the prefix each shares with the one before: each ``a`` with the weights (least id, or number of places) of the contexts' windows that start ``a`` before the anchor."""
+    depth = np.minimum(shared // spec.kind.itemsize, spec.window)
     la, ra = ctx[:, -2].astype(np.int64), ctx[:, -1].astype(np.int64)
-    out = np.full((n, spec.before + 1), NULL_ID if spec.smaller else 0, np.int64)
-    back = np.zeros(n, U)
+    back = np.zeros(len(ctx), U)
     for a in range(spec.before + 1):
         if a:
-            back = seq.mix(back * U(0x9E3779B97F4A7C15) + symbols[:, spec.window + a - 1] + U(1))
+            back = seq.mix(back * U(0x9E3779B97F4A7C15) + _symbol(ctx, spec.window + a - 1, spec) + U(1))
         fits = np.flatnonzero((la >= a) & (ra >= spec.window - a))
         if not len(fits):
             continue
@@ -232,39 +254,38 @@ def nodes_of(ctx: np.ndarray, shared: np.ndarray, weight: np.ndarray, spec: Spec
         order = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
         total = (np.minimum if spec.smaller else np.add).reduceat(weight[fits[order]], first)
-        out[fits[order], a] = np.repeat(total, np.diff(np.append(first, len(order))))
-    return out
+        out = np.full(len(ctx), NULL_ID if spec.smaller else 0, np.int64)
+        out[fits[order]] = np.repeat(total, np.diff(np.append(first, len(order))))
+        yield a, out
 
 
 def window_keys(ctx: np.ndarray, least: int, spec: Spec) -> np.ndarray:
     """For each context and each ``a`` from ``least`` on, a hash of the window that starts ``a`` before the anchor."""
-    symbols = np.ascontiguousarray(ctx[:, :-2]).view(spec.kind).astype(U)
     keys = np.empty((len(ctx), spec.before + 1 - least), U)
     back, ahead = np.zeros(len(ctx), U), np.zeros(len(ctx), U)
     for a in range(spec.before + 1):
         if a:
-            back = seq.mix(back * U(0x9E3779B97F4A7C15) + symbols[:, spec.window + a - 1] + U(1))
+            back = seq.mix(back * U(0x9E3779B97F4A7C15) + _symbol(ctx, spec.window + a - 1, spec) + U(1))
         if a >= least:
             keys[:, a - least] = back
     for depth in range(1, spec.window - least + 1):
-        ahead = seq.mix(ahead * U(0x9E3779B97F4A7C15) + symbols[:, depth - 1] + U(1))
+        ahead = seq.mix(ahead * U(0x9E3779B97F4A7C15) + _symbol(ctx, depth - 1, spec) + U(1))
         if depth >= spec.gram:
             i = spec.window - depth - least
             keys[:, i] = seq.mix(seq.mix(keys[:, i]) * U(0xD1342543DE82EF95) + ahead)
     return keys
 
 
-def _across(runs: list, weights: list[np.ndarray], parted: list[np.ndarray], found: list[np.ndarray], spec: Spec) -> None:
+def _across(rows: np.ndarray, weights: np.ndarray, parted: np.ndarray, found: np.ndarray, spec: Spec) -> None:
     """Add to ``found`` the windows of nodes that lie in several groups of contexts: those of depths under ``parted``."""
-    picked = [np.flatnonzero(p) for p in parted]
-    depth = np.concatenate([p[i] for p, i in zip(parted, picked, strict=True)]).astype(np.int64)
-    if not len(depth):
+    picked = np.flatnonzero(parted)
+    if not len(picked):
         return
+    depth, own, got = parted[picked].astype(np.int64), weights[picked], found[picked]
     least = spec.window - int(depth.max()) + 1
-    keys = np.concatenate([window_keys(rows[i], least, spec) for (rows, _), i in zip(runs, picked, strict=True)])
-    la, ra = (np.concatenate([rows[i, c] for (rows, _), i in zip(runs, picked, strict=True)]).astype(np.int64) for c in (-2, -1))
-    own = np.concatenate([w[i] for w, i in zip(weights, picked, strict=True)])
-    got = np.concatenate([f[i] for f, i in zip(found, picked, strict=True)])
+    ctx = rows[picked]
+    keys = window_keys(ctx, least, spec)
+    la, ra = ctx[:, -2].astype(np.int64), ctx[:, -1].astype(np.int64)
     for a in range(least, spec.before + 1):
         fits = np.flatnonzero((la >= a) & (ra >= spec.window - a) & (depth > spec.window - a))
         if not len(fits):
@@ -276,52 +297,48 @@ def _across(runs: list, weights: list[np.ndarray], parted: list[np.ndarray], fou
         ok = order[(total < own[order]) if spec.smaller else (total > 1)]
         got[ok, 0] = np.where(got[ok, 1] < 0, a, np.minimum(got[ok, 0], a))
         got[ok, 1] = np.maximum(got[ok, 1], a)
-    for f, i, g in zip(found, picked, np.split(got, np.cumsum([len(i) for i in picked])[:-1]), strict=True):
-        f[i] = g
+    found[picked] = got
 
 
 def _answer(pdf: pd.DataFrame, spec: Spec) -> pd.DataFrame:
     """The runs of a bucket to, for each context of each run, the least and the greatest ``a`` (greatest -1: none)."""
-    weights = [np.frombuffer(w, "<i8") for w in pdf.weight]
-    found = [np.zeros((len(w), 2), np.int16) for w in weights]
-    for f in found:
-        f[:, 1] = -1
-    runs = [front_decode(r, len(w), spec.width) for r, w in zip(pdf.run, weights, strict=True)]
-    parted = [np.zeros(len(w), np.int8) for w in weights]
-    for ctx, shared, run, index, *depth in spec.order(runs, spec):
-        # ctx: in order, repeated where several runs have it; run, index: whose it is; depth: nodes under it lie in other groups too.
+    sizes = [len(w) // 8 for w in pdf.weight]
+    ends = np.cumsum(sizes, dtype=np.int64)
+    weights = np.frombuffer(b"".join(pdf.weight), "<i8")
+    rows, prefix = np.empty((len(weights), spec.width), np.uint8), np.empty(len(weights), np.int64)
+    for r, e, n in zip(pdf.run, ends.tolist(), sizes, strict=True):
+        front_decode(r, rows[e - n : e], prefix[e - n : e])
+    found, parted = np.zeros((len(weights), 2), np.int8), np.zeros(len(weights), np.int8)
+    found[:, 1] = -1
+    for ctx, shared, at, *depth in spec.order(rows, prefix, ends, spec):
+        # ctx: in order, repeated where several runs have it; at: their rows; depth: nodes under it lie in other groups too.
         new = shared < spec.width
         new[0] = True
-        which = np.cumsum(new) - 1
-        own = np.empty(len(ctx), np.int64)
-        for r in np.unique(run):
-            own[run == r] = weights[r][index[run == r]]
-        first = np.flatnonzero(new)
+        which, own, first = np.cumsum(new) - 1, weights[at], np.flatnonzero(new)
         total = (np.minimum if spec.smaller else np.add).reduceat(own, first)
-        w = nodes_of(ctx[first], shared[first], total, spec)[which]
-        ok = (w < own[:, None]) if spec.smaller else (w > 1)
-        some = ok.any(1)
-        lo, hi = ok.argmax(1), spec.before - ok[:, ::-1].argmax(1)
-        for r in np.unique(run):
-            k = run == r
-            found[r][index[k], 0], found[r][index[k], 1] = lo[k], np.where(some[k], hi[k], -1)
-            if depth:
-                parted[r][index[k]] = depth[0][k]
-    _across(runs, weights, parted, found, spec)
-    return pd.DataFrame({"chunk": pdf.chunk, "bucket": pdf.bucket, "mask": [f.astype("i1").tobytes() for f in found]})
+        lo, hi = np.zeros(len(ctx), np.int8), np.full(len(ctx), -1, np.int8)
+        for a, w in nodes_of(ctx[first], shared[first], total, spec):
+            ok = (w[which] < own) if spec.smaller else (w > 1)[which]
+            lo[ok & (hi < 0)] = a
+            hi[ok] = a
+        found[at, 0], found[at, 1] = lo, hi
+        if depth:
+            parted[at] = depth[0]
+    _across(rows, weights, parted, found, spec)
+    return pd.DataFrame({"chunk": pdf.chunk, "bucket": pdf.bucket, "mask": [found[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes, strict=True)]})
 
 
 def _covered(row, places: bytes, answers: pd.DataFrame, spec: Spec) -> tuple[Chunk, np.ndarray]:
     """Which symbols of a chunk lie in a repeated window."""
     c = _open(row, spec)
-    p = np.frombuffer(places, "<i8").reshape(-1, 3)
+    p = np.frombuffer(places, PLACE)
     edge = np.zeros(len(c.symbols) + 1, np.int64)
     if len(p):
         got = np.concatenate([np.frombuffer(m, "i1").reshape(-1, 2) for m in answers.sort_values("bucket")["mask"]]).astype(np.int64)
-        at, lo, hi = p[:, 0], got[p[:, 1], 0], got[p[:, 1], 1]
+        at, lo, hi = p["at"].astype(np.int64), got[p["context"], 0], got[p["context"], 1]
         text = np.searchsorted(c.end, at, "right")
         la, ra = np.minimum(at - c.begin[text], spec.before), np.minimum(c.end[text] - at, spec.window)
-        full = p[:, 2] > 0
+        full = p["full"]
         lo, hi = np.where(full, np.maximum(0, spec.window - ra), lo), np.where(full, la, hi)
         ok = hi >= lo
         np.add.at(edge, at[ok] - hi[ok], 1)
@@ -331,7 +348,8 @@ def _covered(row, places: bytes, answers: pd.DataFrame, spec: Spec) -> tuple[Chu
 
 def repeated(docs: DataFrame, spec: Spec, report: Callable, schema: str) -> DataFrame:
     """Each chunk's ``report(chunk, covered)``, a pandas frame of the schema."""
-    chunks = write_table(chunked(docs), "chunks")
+    n = homes(docs.sparkSession)
+    chunks = write_bucketed(chunked(docs, n), "chunks", n)
     bits = exchange.bucket_bits(exchange_bytes(chunks))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -341,13 +359,16 @@ def repeated(docs: DataFrame, spec: Spec, report: Callable, schema: str) -> Data
                 if len(v):
                     yield exchange.runs(row.chunk, v, bits)
 
-    masks = exchange.masks(chunks.mapInPandas(send, exchange.RUN))
+    masks = exchange.masks(chunks.mapInPandas(lambda batches: tidy(send(batches)), exchange.RUN))
 
     def pick(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return pd.concat([_pick(row, right, spec, bits) for row in left.itertuples()]) if len(left) else pd.DataFrame({"chunk": [], "bucket": [], "run": [], "weight": []})
 
     runs = write_table(chunks.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInPandas(pick, "chunk long, bucket int, run binary, weight binary"), "runs")
-    answers = runs.filter("bucket >= 0").groupBy("bucket").applyInPandas(lambda pdf: _answer(pdf, spec), ANSWERS)
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        return next(tidy(iter([_answer(pdf, spec)])))
+
+    answers = runs.filter("bucket >= 0").groupBy("bucket").applyInPandas(answer, ANSWERS)
     answers = answers.union(runs.filter("bucket < 0").select("chunk", "bucket", "run"))
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -31,7 +31,7 @@ from apportion.llm import repeats
 
 WINDOW, GRAM = 35, 12
 #: Most suffixes that one tree holds.
-GROUP = 100_000
+GROUP = 50_000
 
 
 def split(rows: np.ndarray, at: np.ndarray, depth: int, spec: repeats.Spec, most: int = 0, parted: np.ndarray | None = None) -> Iterator[np.ndarray]:
@@ -69,17 +69,15 @@ def split(rows: np.ndarray, at: np.ndarray, depth: int, spec: repeats.Spec, most
         yield np.concatenate(held)
 
 
-def order(runs: list[tuple[np.ndarray, np.ndarray]], spec: repeats.Spec) -> Iterator[tuple]:
-    rows = np.concatenate([r for r, _ in runs])
-    run = np.repeat(np.arange(len(runs)), [len(r) for r, _ in runs])
-    index = np.concatenate([np.arange(len(r)) for r, _ in runs])
+def order(rows: np.ndarray, prefix: np.ndarray, ends: np.ndarray, spec: repeats.Spec) -> Iterator[tuple]:
+    """The trees of a bucket, each as its sorted suffixes."""
     parted = np.zeros(len(rows), np.int8)
     for at in split(rows, np.arange(len(rows)), spec.gram, spec, parted=parted):
         at = at[np.argsort(rows[at].view(f"V{spec.width}").ravel(), kind="stable")]
         ctx = rows[at]
         differ = ctx[1:] != ctx[:-1]
         shared = np.concatenate(([0], np.where(differ.any(1), differ.argmax(1), spec.width)))
-        yield ctx, shared, run[at], index[at], parted[at]
+        yield ctx, shared, at, parted[at]
 
 
 SPEC = repeats.Spec(WINDOW, GRAM, words=True, smaller=False, order=order)

@@ -18,6 +18,7 @@ bytes; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,16 +91,32 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int,
             node //= 2
 
 
-def order(runs: list[tuple[np.ndarray, np.ndarray]], spec: repeats.Spec) -> Iterator[tuple]:
-    """All contexts of a bucket, merged."""
-    as_lists = []
-    for rows, shared in runs:
-        raw, w = rows.tobytes(), spec.width
-        as_lists.append(([raw[i * w : (i + 1) * w] for i in range(len(rows))], shared.tolist()))
-    out = np.array([*merge(as_lists)], np.int64).reshape(-1, 3)
-    if len(out):
-        first = np.cumsum([0, *(len(r) for r, _ in runs)])
-        yield np.concatenate([r for r, _ in runs])[first[out[:, 0]] + out[:, 1]], out[:, 2].copy(), out[:, 0], out[:, 1]
+#: Merged contexts that are judged at once, unless one gram has more.
+BLOCK = 50_000
+
+
+def order(rows: np.ndarray, prefix: np.ndarray, ends: np.ndarray, spec: repeats.Spec) -> Iterator[tuple]:
+    """All contexts of a bucket, merged, in blocks that part no gram. Runs end at ``ends``; prefix: what a row shares with the one before."""
+    raw, w, lengths = rows.tobytes(), spec.width, prefix.tolist()
+    begins = [0, *ends[:-1].tolist()]
+    runs = [([raw[i * w : (i + 1) * w] for i in range(b, e)], lengths[b:e]) for b, e in zip(begins, ends.tolist(), strict=True)]
+    del raw
+    held, first = array("q"), np.array(begins, np.int64)
+
+    def block() -> tuple:
+        run, index, shared = np.frombuffer(held, np.int64).reshape(-1, 3).T
+        at = first[run] + index
+        return rows[at], shared.copy(), at
+
+    n = 0
+    for got in merge(runs):
+        if n >= BLOCK and got[2] < spec.gram:
+            yield block()
+            held, n = array("q"), 0
+        held.extend(got)
+        n += 1
+    if n:
+        yield block()
 
 
 SPEC = repeats.Spec(WINDOW, GRAM, words=False, smaller=True, order=order)
