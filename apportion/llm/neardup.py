@@ -38,10 +38,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apportion.llm import exchange, seq
-from apportion.llm.common import plain, write_table
+from apportion.llm.common import homes, plain, tidy, write_bucketed, write_table
 
 SHINGLE, PERCENT, SKETCH, MARGIN = 4, 80, 24, 0.3
 COUNTER_BITS, BLOCK = 20, 1 << 14
+#: Bytes of packed texts that are compared at once, and values of sets that a task keeps.
+PACKED, KNOWN = 1 << 20, 1 << 21
 #: Members of a component that an outsider meets in a round, and rounds before all that is left is paired.
 HUBS, MOST_TURNS = 16, 4
 
@@ -104,7 +106,7 @@ def _counters(docs: DataFrame) -> np.ndarray:
         return pd.DataFrame({"block": pdf.block[:1], "counts": [total.tobytes()]})
 
     out = np.zeros(1 << COUNTER_BITS, np.int64)
-    for r in docs.mapInPandas(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect():  # 8 MB at most
+    for r in docs.mapInPandas(lambda batches: tidy(count(batches)), "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect():  # 8 MB at most
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], "<i8")
     return out
 
@@ -118,13 +120,13 @@ def _classes(counts: np.ndarray) -> np.ndarray:
 CHUNKS = "chunk long, ids binary, nulls binary, n binary, nodes binary, keep binary, values binary, sketches binary, texts binary, lens binary"
 
 
-def _chunks(docs: DataFrame, classes) -> DataFrame:
+def _chunks(docs: DataFrame, classes, buckets: int) -> DataFrame:
     """A row per chunk: its documents' ids, set sizes and nodes; for each node's first document the retained values and the packed text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = classes.value
         pack = zstandard.ZstdCompressor(level=3)
-        for chunk, b in exchange.numbered(batches):
+        for chunk, b in exchange.numbered(batches, most=1 << 20, homes=buckets):
             texts = [t.encode() for t in b.text]
             o, h = shingles(texts)
             n = np.bincount(o, minlength=len(b))
@@ -143,7 +145,7 @@ def _chunks(docs: DataFrame, classes) -> DataFrame:
                 "values": [h[at].astype("<u8").tobytes()], "sketches": [sketches], "texts": [b"".join(packed)], "lens": ints([len(x) for x in packed]),
             })
 
-    return docs.mapInPandas(run, CHUNKS)
+    return docs.mapInPandas(lambda batches: tidy(run(batches)), CHUNKS)
 
 
 _I = lambda x: np.frombuffer(x, "<i8")
@@ -170,7 +172,7 @@ def _nodes(chunks: DataFrame, bits: int) -> DataFrame:
                 if len(v):
                     yield exchange.runs(r.chunk, v, bits)
 
-    answers = exchange.masks(chunks.select("chunk", "values").mapInPandas(send, exchange.RUN))
+    answers = exchange.masks(chunks.select("chunk", "values").mapInPandas(lambda batches: tidy(send(batches)), exchange.RUN))
 
     def pick(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -242,9 +244,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFram
                 known.update(zip(names[i:j], np.split(h, np.cumsum(np.bincount(o, minlength=j - i))[:-1]), strict=True))
 
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                b = batch.iloc[k : k + 500]
-                if len(known) > 1000:
+            size = np.cumsum([len(x) + len(y) for x, y in zip(batch.za, batch.zb, strict=True)]) // PACKED
+            for _, b in batch.groupby(size):
+                if sum(map(len, known.values())) > KNOWN:
                     known.clear()
                 sets(b)
                 ok = []
@@ -255,7 +257,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFram
                 yield b.loc[ok, ["a", "b"]]
 
     z = lambda side: texts.select(F.col("node").alias(side), F.col("z").alias(f"z{side}"))
-    return pairs.join(z("a"), "a").join(z("b"), "b").select("a", "b", "za", "zb").mapInPandas(test, "a long, b long")
+    return pairs.join(z("a"), "a").join(z("b"), "b").select("a", "b", "za", "zb").mapInPandas(lambda batches: tidy(test(batches)), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,7 +279,8 @@ def classes_of(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     d = plain(docs)
     classes = spark.sparkContext.broadcast(_classes(_counters(d)))  # 1 MB
-    chunks = write_table(_chunks(d, classes), "chunks")
+    n = homes(spark)
+    chunks = write_bucketed(_chunks(d, classes, n), "chunks", n)
     members = write_table(_members(chunks), "members")
     bits = exchange.bucket_bits((members.agg(F.sum("n")).first()[0] or 0) * 4 * (100 - PERCENT) / 100)
     nodes = write_table(_nodes(chunks, bits), "nodes")
