@@ -1,16 +1,20 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
 A lexicon maps words to classes: insult, threat, target, negation, reported
-speech, other. Transducers over these classes are composed once, on the driver:
-reported speech and negation rewrite the insults and threats in their reach, a
-target raises the clause's weight, and the last transducer weighs what is left.
+speech, copula, degree, future, other. Transducers over these classes are
+composed once, on the driver: one finds insults that are said of a target
+(target, copula, degrees, insult), one finds announced threats (a future within
+reach before), reported speech and negation rewrite the insults and threats in
+their reach, a target raises the clause's weight, and the last transducer weighs
+what is left.
 A text's score is 1 - prod(1 - p) over its matched clauses, p being the weight
 of the clause's best path times the precision of its strongest lexicon entry.
 
 The insults are learned: word stems of STEM letters whose texts are labelled
 toxic, chosen greedily so that each next one covers the most labelled toxic
 texts not covered yet, less PENALTY times the clean ones. The seeds below are
-used as well. Learning uses at most about TRAIN_ROWS labelled rows, those with
+used as well. A third of the labelled texts (near copies together) only confirms:
+a stem must hold there for CONFIRMED texts at least, mostly toxic ones. Learning uses at most about TRAIN_ROWS labelled rows, those with
 the lowest hash of the id, and only rows whose crc32(doc_id as text) mod 4 is
 not 2. Labels, language, source and id are no inputs of a score.
 
@@ -23,6 +27,7 @@ stand alone; repeated rows are scored alike; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,14 +36,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apportion.llm.common import plain
+from apportion.llm.common import plain, tidy
 
 #: Bound on the labelled rows that are learned from.
 TRAIN_ROWS = 20_000
 #: Most stems kept as candidates, and most entries of the lexicon.
 CANDIDATES, ENTRIES = 4_000, 200
 STEM = range(4, 10)
-SUPPORT, PENALTY, LEAST_GAIN = 4, 2, 3
+SUPPORT, PENALTY, LEAST_GAIN, CONFIRMED, PARTS = 4, 2, 3, 2, 3
 THRESHOLD = 0.3
 #: Words after a negation that it rewrites.
 REACH = 3
@@ -48,8 +53,14 @@ INSULTS = "idiot moron imbecile scum loser pathetic worthless disgusting stupid"
 THREATS = "kill hurt destroy burn beat shoot".split()
 TARGETS = "you your yours he she they them him her du dich ihr euch sie tu toi vous te usted ustedes tú".split()
 NEGATIONS = "not no never nobody nicht kein keine niemals pas jamais nunca jamás".split()
+COPULAS = "am are is was were be bin bist ist sind seid war suis es est sommes êtes sont soy eres somos son".split()
+DEGREES = "a an the so such really very complete total ein eine so sehr total un une si très vraiment una tan muy tal".split()
+FUTURES = "will shall gonna going must should werde wirst werden muss sollte vais vas allons devrais voy vamos deberías".split()
 REPORTS = "said says wrote called claims claimed quoted reported sagte schrieb dit écrit dijo escribió".split()
 
+#: Texts with a stem: clean and toxic ones that it is chosen by, and those that confirm it.
+COUNTED = ["clean", "toxic", "clean2", "toxic2"]
+
 Arcs = dict[tuple[int, str], list[tuple[str, float, int]]]
 
 
@@ -61,12 +72,12 @@ class Transducer:
 
     def __matmul__(self, other: Transducer) -> Transducer:
         """Composition: other reads what self writes."""
-        names, todo, arcs = {(0, 0): 0}, [(0, 0)], {}
+        names, todo, arcs, by = {(0, 0): 0}, [(0, 0)], {}, {}
+        for (state, read), outs in self.arcs.items():
+            by.setdefault(state, []).append((read, outs))
         while todo:
             p, q = todo.pop()
-            for (state, read), outs in self.arcs.items():
-                if state != p:
-                    continue
+            for read, outs in by.get(p, []):
                 for mid, weight, p2 in outs:
                     for out, w2, q2 in other.arcs.get((q, mid), []):
                         if (p2, q2) not in names:
@@ -87,14 +98,41 @@ class Transducer:
         return max(at.values(), default=0.0)
 
 
-# Classes: x other, i insult, t threat, y target, n negation, r reported speech; written: j weakened insult, u weakened threat.
+# Classes: x other, i insult, t threat, y target, n negation, r reported speech, c copula, d degree, f future;
+# written: I insult said of a target, T announced threat, j weakened insult, u weakened threat.
+def _insult() -> Transducer:
+    """State 1: a target was read, 2: then a copula, and degrees."""
+    arcs: Arcs = {}
+    for s in range(3):
+        for c in "xntrf":
+            arcs[s, c] = [(c, 1.0, 0)]
+        arcs[s, "y"] = [("y", 1.0, 1)]
+        arcs[s, "c"] = [("x", 1.0, 2 if s else 0)]
+        arcs[s, "d"] = [("x", 1.0, s)]
+        arcs[s, "i"] = [("I" if s == 2 else "i", 1.0, 0)]
+    return Transducer(arcs)
+
+
+def _threat(reach: int = REACH) -> Transducer:
+    """The state counts the words that a future still reaches."""
+    arcs: Arcs = {}
+    for s in range(reach + 1):
+        nxt = max(0, s - 1)
+        for c in "xynriI":
+            arcs[s, c] = [(c, 1.0, nxt)]
+        arcs[s, "f"] = [("x", 1.0, reach)]
+        arcs[s, "t"] = [("T" if s else "t", 1.0, nxt)]
+    return Transducer(arcs)
+
+
 def _reported() -> Transducer:
     arcs: Arcs = {}
     for s in (0, 1):
         for c in "xyn":
             arcs[s, c] = [(c, 1.0, s)]
         arcs[s, "r"] = [("x", 1.0, 1)]
-        arcs[s, "i"], arcs[s, "t"] = [("ij"[s], 1.0, s)], [("tu"[s], 1.0, s)]
+        for c in "iItT":
+            arcs[s, c] = [("ju"[c in "tT"] if s else c, 1.0, s)]
     return Transducer(arcs)
 
 
@@ -105,7 +143,8 @@ def _negated(reach: int = REACH) -> Transducer:
         for c in "xyju":
             arcs[s, c] = [(c, 1.0, nxt)]
         arcs[s, "n"] = [("x", 1.0, reach)]
-        arcs[s, "i"], arcs[s, "t"] = [("j" if s else "i", 1.0, nxt)], [("u" if s else "t", 1.0, nxt)]
+        for c in "iItT":
+            arcs[s, c] = [("ju"[c in "tT"] if s else c, 1.0, nxt)]
     return Transducer(arcs)
 
 
@@ -113,8 +152,8 @@ def _target() -> Transducer:
     """State bit 1: a target was read, bit 2: an insult, bit 4: a threat. A target raises an insult a little and makes a threat count."""
     arcs: Arcs = {}
     for s in range(8):
-        for c in "xyijtu":
-            n = s | (c == "y") | 2 * (c in "ij") | 4 * (c in "tu")
+        for c in "xyiIjtTu":
+            n = s | (c == "y") | 2 * (c in "iIj") | 4 * (c in "tTu")
             raised = (1.1 if n & 3 == 3 and s & 3 != 3 else 1.0) * (2.5 if n & 5 == 5 and s & 5 != 5 else 1.0)
             arcs[s, c] = [(c, raised, n)]
     return Transducer(arcs)
@@ -122,7 +161,7 @@ def _target() -> Transducer:
 
 def _weights() -> Transducer:
     """Each path weighs one match (to state 1); in state 0 nothing is weighed yet, and matches may be passed over for a later one."""
-    each = {"i": 0.9, "j": 0.5, "t": 0.15, "u": 0.05}
+    each = {"I": 0.95, "i": 0.9, "j": 0.5, "T": 0.25, "t": 0.15, "u": 0.05}
     arcs: Arcs = {(s, c): [("x", 1.0, s)] for s in (0, 1) for c in "xy"}
     for c, w in each.items():
         arcs[0, c], arcs[1, c] = [("x", w, 1), ("x", 0.01, 0)], [("x", 1.0, 1)]
@@ -139,8 +178,8 @@ class Grammar:
 
     def __init__(self, entries: dict[str, float]):
         self.entries = entries
-        self.machine = _reported() @ _negated() @ _target() @ _weights()
-        self.classes = {w: c for c, ws in (("y", TARGETS), ("n", NEGATIONS), ("r", REPORTS), ("t", THREATS)) for w in ws}
+        self.machine = _insult() @ _threat() @ _reported() @ _negated() @ _target() @ _weights()
+        self.classes = {w: c for c, ws in (("c", COPULAS), ("d", DEGREES), ("f", FUTURES), ("y", TARGETS), ("n", NEGATIONS), ("r", REPORTS), ("t", THREATS)) for w in ws}
         stems = sorted({*entries, *THREATS}, key=lambda s: (-len(s), s))
         self.longest = max(map(len, entries), default=0)
         self.hint = re.compile(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, stems)) + ")")
@@ -178,6 +217,11 @@ def _stems(text: str) -> set[str]:
     return out
 
 
+def _confirms(text: str) -> bool:
+    """Whether a labelled text confirms. By the least hash of its words, so that copies and near copies are on the same side."""
+    return min((zlib.crc32(w.encode()) for w in set(_WORD.findall(text.lower()))), default=1) % PARTS == 0
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -192,23 +236,24 @@ def learn(docs: DataFrame, labels: DataFrame) -> Grammar:
     rows = d.join(F.broadcast(marks), "doc_id").select("text", "toxic")  # about TRAIN_ROWS pairs of numbers at most
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        both: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        both: dict[int, Counter] = {k: Counter() for k in range(4)}
         for b in batches:
             for text, toxic in zip(b.text, b.toxic, strict=True):
-                both[int(toxic > 0)].update(_stems(text))
+                both[int(toxic > 0) + 2 * int(_confirms(text))].update(_stems(text))
             if sum(map(len, both.values())) > 500_000:
                 yield from out(both)
-                both = {0: Counter(), 1: Counter()}
+                both = {k: Counter() for k in range(4)}
         yield from out(both)
 
     def out(both: dict[int, Counter]) -> Iterator[pd.DataFrame]:
         for k, c in both.items():
             if c:
-                yield pd.DataFrame({"stem": list(c), "clean": np.array(list(c.values())) * (1 - k), "toxic": np.array(list(c.values())) * k})
+                yield pd.DataFrame({"stem": list(c)} | {name: np.array(list(c.values())) * (j == k) for j, name in enumerate(COUNTED)})
 
-    counts = rows.mapInPandas(count, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.filter((F.col("toxic") >= SUPPORT) & (F.col("toxic") > PENALTY * F.col("clean"))).orderBy(F.desc(F.col("toxic") - PENALTY * F.col("clean")), F.desc(F.length("stem")), "stem").limit(CANDIDATES)
-    found = {r["stem"]: (r["clean"], r["toxic"]) for r in counts.collect()}
+    counts = rows.mapInPandas(lambda batches: tidy(count(batches)), "stem string, " + ", ".join(f"{c} long" for c in COUNTED)).groupBy("stem").agg(*[F.sum(c).alias(c) for c in COUNTED])
+    confirmed = (F.col("toxic2") >= CONFIRMED) & (F.col("toxic2") > PENALTY * F.col("clean2"))
+    counts = counts.filter((F.col("toxic") >= SUPPORT) & (F.col("toxic") > PENALTY * F.col("clean")) & confirmed).orderBy(F.desc(F.col("toxic") - PENALTY * F.col("clean")), F.desc(F.length("stem")), "stem").limit(CANDIDATES)
+    found = {r["stem"]: (r["clean"] + r["clean2"], r["toxic"] + r["toxic2"]) for r in counts.collect()}  # CANDIDATES at most
 
     def has(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
