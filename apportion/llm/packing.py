@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from apportion.llm.common import plain
+from apportion.llm.common import plain, tidy
 from apportion.llm.tokens import default_path, encoder
 
 LENGTH = 1024
@@ -169,5 +169,5 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
         packer.close()
         yield out()
 
-    return plain(docs).mapInPandas(run, PIECES)
+    return plain(docs).mapInPandas(lambda batches: tidy(run(batches)), PIECES)
 

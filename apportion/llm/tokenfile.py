@@ -1,26 +1,18 @@
 """Token-ID files: an adaptive context-mixing range coder in independent blocks.
 
 A file is a table of segments in ascending order of (part, segment); a segment
-holds whole documents: their lengths, then blocks of BLOCK ids. Every block is
-coded on its own, from a reset model, with its number of ids, its number of
-bytes and the crc32 of its ids, which the reader compares.
+holds whole documents: their lengths, then blocks of ``coder.BLOCK`` ids. Every
+block is coded on its own, from a reset model (``coder``), with its number of
+ids and of distinct ids, the bytes of their list and of its code, and the crc32
+of its ids, which the reader compares.
 
-The model predicts an id from two contexts: the last id (order 1) and the last
-two (order 2) each look up the id that followed last time and how often that
-was right. Both confidences, and whether the two agree, choose an adaptive
-distribution over three outcomes: the order-2 id, the order-1 id, or neither.
-For neither, order 0 follows: an adaptive distribution over bins of ids, then
-the place in the bin, evenly. The three outcomes, the bin and the place are
-nested shares of one interval, coded in one step of a carryless 64-bit range
-coder that puts out 16 bits at a time.
-
-Blocks are coded in lockstep: one step codes the next id of all blocks of a
-segment with vector operations. The model's integer steps are the same in
-writing and reading.
+A segment is closed at SEGMENT ids; the texts that are encoded together have at
+most about AT_ONCE characters, so only a single larger text makes a larger one.
 
 Defined cases: a null or empty text has the closing id alone; null doc_ids come
-first; rows with equal doc_id are in the order of their text's hash; extra
-columns are ignored; an empty table gives an empty file and an empty result.
+first; rows with equal doc_id are in the order of their text's hash; ids are
+any below 2**32; extra columns are ignored; an empty table gives an empty file
+and an empty result.
 """
 
 from __future__ import annotations
@@ -34,242 +26,47 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apportion.llm.common import plain, write_table
+from apportion.llm import coder, exchange
+from apportion.llm.common import plain, tidy, write_table
 from apportion.llm.tokens import default_path, encoder
 
 END = 2
-BLOCK, SEGMENT = 2048, 8 << 20
-MAGIC = b"APTK1\0"
-U = np.uint64
-#: Slots of each context's table in a block, bits of the outcomes' and the bins' probabilities, speed of adaptation.
-SLOTS, P_BITS, RATE = 1024, 12, 4
-#: The bins' distribution follows the counts of a block's ids so far, every so many ids.
-RENEW = 32
-PLACE_BITS = 10
-SCALE = 2 * P_BITS + PLACE_BITS
-TOP = U(1 << 48)
-
-# Bins of ids, wider for larger ids: (first id, bits of a bin) in order.
-_BINS = ((0, 5), (1024, 8), (4096, 10))
-
-
-def _layout(ids: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First id and bits of each bin, and each id's bin."""
-    first, bits = [], []
-    for (start, b), end in zip(_BINS, [*(s for s, _ in _BINS[1:]), ids], strict=True):
-        for f in range(start, end, 1 << b):
-            first.append(f)
-            bits.append(b)
-    first, bits = np.array(first), np.array(bits)
-    return first, bits, np.repeat(np.arange(len(first)), 1 << bits)
-
-
-FIRST, BITS, BIN = _layout()
-
-
-class Model:
-    """The predictions for n blocks at once."""
-
-    def __init__(self, n: int):
-        self.n = n
-        self.rows = np.arange(n)
-        self.base = self.rows * SLOTS
-        self.ids = [np.zeros(n * SLOTS, np.int32) for _ in range(2)]
-        self.sure = [np.zeros(n * SLOTS, np.int8) for _ in range(2)]
-        one = 1 << P_BITS
-        self.cut = np.empty((n * 32, 2), np.int32)
-        self.cut[:, 0], self.cut[:, 1] = one // 4, one // 2
-        self.counts = np.ones((n, len(FIRST)), np.int64)
-        self.renew()
-        self.x1, self.x2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-
-    def renew(self) -> None:
-        """Starts of the bins, and the end of the last, each bin with a share of at least one."""
-        k = len(FIRST)
-        ends = np.cumsum(self.counts, axis=1)
-        self.bins = np.zeros((self.n, k + 1), np.int16)
-        self.bins[:, 1:] = ends * ((1 << P_BITS) - k) // ends[:, -1:] + np.arange(1, k + 1)
-        self.flat, self.width = self.bins.ravel(), k + 1
-        self.age = 0
-
-    def look(self, m: int) -> None:
-        """Predictions for the first m blocks."""
-        x1, x2 = self.x1[:m], self.x2[:m]
-        a = (x1 * 40503 >> 4) & (SLOTS - 1)
-        b = ((x1 * 40503 + x2 * 30029 + 77) * 2654435761 >> 12) & (SLOTS - 1)
-        self.at = (self.base[:m] + b, self.base[:m] + a)
-        self.two, self.one = self.ids[0][self.at[0]], self.ids[1][self.at[1]]
-        self.s2, self.s1 = self.sure[0][self.at[0]], self.sure[1][self.at[1]]
-        self.ctx = self.rows[:m] * 32 + (self.two == self.one) * 16 + self.s2 * 4 + self.s1
-        c = self.cut[self.ctx]
-        self.c0, self.c1 = c[:, 0], c[:, 1]
-
-    def learn(self, m: int, ids: np.ndarray, which: np.ndarray) -> None:
-        """ids came, by outcome ``which`` (0, 1, 2)."""
-        one = 1 << P_BITS
-        g0 = np.where(which == 0, one - 64, 32)
-        g1 = np.where(which == 2, 64, one - 32)
-        self.cut[self.ctx, 0] = self.c0 + ((g0 - self.c0) >> RATE)
-        self.cut[self.ctx, 1] = self.c1 + ((g1 - self.c1) >> RATE)
-        for k, (guess, sure) in enumerate(((self.two, self.s2), (self.one, self.s1))):
-            right = guess == ids
-            self.ids[k][self.at[k]] = np.where(right | (sure > 0), guess, ids)
-            self.sure[k][self.at[k]] = np.where(right, np.minimum(sure + 1, 3), np.maximum(sure - 1, 0))
-        new = np.flatnonzero(which == 2)
-        self.counts[new, BIN[ids[new]]] += 2
-        self.age += 1
-        if self.age == RENEW:
-            self.renew()
-        self.x2[:m] = self.x1[:m]
-        self.x1[:m] = ids
-
-    def share(self, new: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of bins, out of 1 << P_BITS, for blocks new."""
-        at = new * self.width + bins
-        start = self.flat[at].astype(np.int64)
-        return start, self.flat[at + 1] - start
-
-
-def _settle(low: np.ndarray, rng: np.ndarray, move) -> None:
-    """Shift out 16 bits of the blocks whose top 16 bits are settled, or whose range has become small, until no block needs it."""
-    while True:
-        same = (low ^ (low + rng)) < TOP
-        small = rng < U(1 << SCALE + 4)
-        go = np.flatnonzero(same | small)
-        if not len(go):
-            return
-        tight = go[~same[go]]
-        if len(tight):
-            rng[tight] = (U(0) - low[tight]) & U((1 << SCALE + 4) - 1)
-            rng[tight] = np.maximum(rng[tight], U(1))
-        move(go)
-        low[go] <<= U(16)
-        rng[go] <<= U(16)
-
-
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Each BLOCK ids to bytes; the last block may be shorter."""
-    n = -(-len(ids) // BLOCK)
-    if not n:
-        return []
-    flat = np.zeros(n * BLOCK, np.int64)
-    flat[: len(ids)] = ids
-    grid = np.ascontiguousarray(flat.reshape(n, BLOCK).T)
-    short = len(ids) - (n - 1) * BLOCK
-    model = Model(n)
-    low, rng = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U)
-    out, used = np.zeros((n, BLOCK * 3 + 8), "<u2"), np.zeros(n, np.int64)
-
-    def move(go: np.ndarray) -> None:
-        out[go, used[go]] = (low[go] >> U(48)).astype("<u2")
-        used[go] += 1
-
-    for t in range(BLOCK if n > 1 else short):
-        m = n if t < short else n - 1
-        x = grid[t, :m]
-        model.look(m)
-        which = np.where(x == model.two, 0, np.where(x == model.one, 1, 2))
-        c0, c1 = model.c0.astype(np.int64), model.c1.astype(np.int64)
-        wide = P_BITS + PLACE_BITS
-        start, size = np.where(which == 0, 0, c0) << wide, np.where(which == 0, c0, c1 - c0) << wide
-        new = np.flatnonzero(which == 2)
-        if len(new):
-            v, bins = x[new], BIN[x[new]]
-            s, f = model.share(new, bins)
-            q, f = (1 << P_BITS) - c1[new], f << (PLACE_BITS - BITS[bins])
-            start[new] = (c1[new] << wide) + q * ((s << PLACE_BITS) + (v - FIRST[bins]) * f)
-            size[new] = q * f
-        r = rng[:m] >> U(SCALE)
-        low[:m] += r * start.astype(U)
-        rng[:m] = r * size.astype(U)
-        lo, ra = low[:m], rng[:m]
-        _settle(lo, ra, move)
-        model.learn(m, x.astype(np.int32), which)
-    for _ in range(4):
-        move(np.arange(n))
-        low <<= U(16)
-    return [out[i, : used[i]].tobytes() for i in range(n)]
-
-
-def decode_blocks(blocks: list[bytes], total: int) -> np.ndarray:
-    """The ``total`` ids of blocks that hold BLOCK ids each, the last one the rest."""
-    n = len(blocks)
-    if not n:
-        return np.zeros(0, "<u4")
-    short = total - (n - 1) * BLOCK
-    model = Model(n)
-    longest = max(map(len, blocks)) // 2 + 8
-    data = np.zeros((n, longest), "<u2")
-    for i, b in enumerate(blocks):
-        data[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-    low, rng = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U)
-    code, used = np.zeros(n, U), np.zeros(n, np.int64)
-
-    def move(go: np.ndarray) -> None:
-        code[go] = (code[go] << U(16)) | data[go, np.minimum(used[go], longest - 1)].astype(U)
-        used[go] += 1
-
-    for _ in range(4):
-        move(np.arange(n))
-    grid = np.zeros((BLOCK, n), "<u4")
-    one = 1 << P_BITS
-    wide = P_BITS + PLACE_BITS
-    for t in range(BLOCK if n > 1 else short):
-        m = n if t < short else n - 1
-        model.look(m)
-        r = rng[:m] >> U(SCALE)
-        value = np.minimum((code[:m] - low[:m]) // r, U((1 << SCALE) - 1)).astype(np.int64)
-        c0, c1 = model.c0.astype(np.int64), model.c1.astype(np.int64)
-        head = value >> wide
-        which = (head >= c0).astype(np.int64) + (head >= c1)
-        x = np.where(which == 0, model.two, model.one).astype(np.int64)
-        start, size = np.where(which == 0, 0, c0) << wide, np.where(which == 0, c0, c1 - c0) << wide
-        new = np.flatnonzero(which == 2)
-        if len(new):
-            q = one - c1[new]
-            inner = (value[new] - (c1[new] << wide)) // q
-            bins = (model.bins[new] <= (inner >> PLACE_BITS).astype(np.int16)[:, None]).sum(1) - 1
-            s, f = model.share(new, bins)
-            f = f << (PLACE_BITS - BITS[bins])
-            place = (inner - (s << PLACE_BITS)) // f
-            x[new] = FIRST[bins] + place
-            start[new] = (c1[new] << wide) + q * ((s << PLACE_BITS) + place * f)
-            size[new] = q * f
-        low[:m] += r * start.astype(U)
-        rng[:m] = r * size.astype(U)
-        lo, ra = low[:m], rng[:m]
-        _settle(lo, ra, move)
-        grid[t, :m] = x
-        model.learn(m, x.astype(np.int32), which)
-    return grid.T.reshape(-1)[:total] if short == BLOCK else np.concatenate((grid[:, :-1].T.reshape(-1), grid[:short, -1]))
+SEGMENT, AT_ONCE = 8 << 20, 2 << 20
+#: Bytes of text that a range of documents should have.
+PART_BYTES = 20 << 20
+MAGIC = b"APTK2\0"
+_SEGMENT, _BLOCK = "<6sIQI", "<IIIII"
 
 
 def write_segment(lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    blocks = encode_blocks(ids)
-    raw = ids.astype("<u4").tobytes()
-    heads = b"".join(struct.pack("<III", len(raw[4 * BLOCK * i : 4 * BLOCK * (i + 1)]) >> 2, len(b), zlib.crc32(raw[4 * BLOCK * i : 4 * BLOCK * (i + 1)])) for i, b in enumerate(blocks))
-    head = struct.pack("<6sIQI", MAGIC, len(lengths), len(ids), len(blocks))
-    return head + lengths.astype("<u8").tobytes() + heads + b"".join(blocks)
+    ids = ids.astype("<u4")
+    blocks = coder.encode(ids)
+    cut = [ids[coder.BLOCK * i : coder.BLOCK * (i + 1)] for i in range(len(blocks))]
+    heads = b"".join(struct.pack(_BLOCK, len(own), distinct, len(listed), len(code), zlib.crc32(own)) for own, (distinct, listed, code) in zip(cut, blocks, strict=True))
+    head = struct.pack(_SEGMENT, MAGIC, len(lengths), len(ids), len(blocks))
+    return head + lengths.astype("<u8").tobytes() + heads + b"".join(x for _, listed, code in blocks for x in (listed, code))
 
 
 def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Document lengths and ids; raises if a block's checksum differs."""
-    size = struct.calcsize("<6sIQI")
-    magic, docs, total, n = struct.unpack("<6sIQI", data[:size])
+    """Document lengths and ids; raises ValueError if the segment is damaged."""
+    size = struct.calcsize(_SEGMENT)
+    magic, docs, total, n = struct.unpack(_SEGMENT, data[:size])
     if magic != MAGIC:
         raise ValueError("not a token segment")
     lengths = np.frombuffer(data, "<u8", docs, size).astype(np.int64)
     at = size + 8 * docs
-    heads = [struct.unpack_from("<III", data, at + 12 * i) for i in range(n)]
-    at += 12 * n
+    heads = [struct.unpack_from(_BLOCK, data, at + struct.calcsize(_BLOCK) * i) for i in range(n)]
+    at += struct.calcsize(_BLOCK) * n
     blocks = []
-    for _, k, _ in heads:
-        blocks.append(data[at : at + k])
-        at += k
-    ids = decode_blocks(blocks, total)
-    raw = ids.astype("<u4").tobytes()
-    for i, (_, _, crc) in enumerate(heads):
-        if zlib.crc32(raw[4 * BLOCK * i : 4 * BLOCK * (i + 1)]) != crc:
+    for _, distinct, a, b, _ in heads:
+        blocks.append((distinct, data[at : at + a], data[at + a : at + a + b]))
+        at += a + b
+    try:
+        ids = coder.decode(blocks, total).astype("<u4", copy=False)
+    except (IndexError, ValueError) as e:
+        raise ValueError("a block is damaged") from e
+    for i, (_, _, _, _, crc) in enumerate(heads):
+        if zlib.crc32(ids[coder.BLOCK * i : coder.BLOCK * (i + 1)]) != crc:
             raise ValueError(f"block {i} is damaged")
     return lengths, ids
 
@@ -294,23 +91,23 @@ def write_files(docs: DataFrame, path: str | None = None) -> DataFrame:
             doc = np.concatenate([h[0] for h in held])
             return pd.DataFrame({"part": np.array([part], "int32"), "segment": np.array([n], "int32"), "doc_ids": [doc.tobytes()], "n_ids": [len(ids)], "payload": [write_segment(lengths, ids)]})
 
-        for batch in batches:
-            for i in range(0, len(batch), 2000):
-                b = batch.iloc[i : i + 2000]
-                ids, lengths = encoder(path).encode(b.text.tolist())
-                full = np.insert(ids, np.cumsum(lengths), END)
-                # A null id is written as the least number of 64 bits.
-                held.append((b.doc_id.fillna(np.iinfo(np.int64).min).to_numpy("<i8"), lengths + 1, full))
-                size += len(full)
-                if size >= SEGMENT:
-                    yield out()
-                    held, size, n = [], 0, n + 1
+        for _, b in exchange.numbered(batches, most=AT_ONCE):
+            ids, lengths = encoder(path).encode(b.text.tolist())
+            full = np.full(len(ids) + len(b), END, "<u4")
+            full[np.arange(len(ids)) + np.repeat(np.arange(len(b)), lengths)] = ids
+            # A null id is written as the least number of 64 bits.
+            held.append((b.doc_id.fillna(np.iinfo(np.int64).min).to_numpy("<i8"), lengths + 1, full))
+            size += len(full)
+            if size >= SEGMENT:
+                yield out()
+                held, size, n = [], 0, n + 1
         if held:
             yield out()
 
     d = plain(docs)
-    d = d.repartitionByRange(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return write_table(d.mapInPandas(run, SEGMENTS), "token-files")
+    n = max(d.sparkSession.sparkContext.defaultParallelism, -(-exchange.text_bytes(d) // PART_BYTES))
+    d = d.repartitionByRange(n, F.col("doc_id")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    return write_table(d.mapInPandas(lambda batches: tidy(run(batches)), SEGMENTS), "token-files")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -325,12 +122,12 @@ def read_files(files: DataFrame) -> DataFrame:
             for r in b.itertuples():
                 lengths, ids = read_segment(r.payload)
                 ends = np.cumsum(lengths)
-                raw = ids.astype("<u4").tobytes()
+                raw = memoryview(ids).cast("B")
                 doc = pd.Series(np.frombuffer(r.doc_ids, "<i8")).astype("Int64")
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pd.DataFrame({"doc_id": doc.mask(doc == np.iinfo(np.int64).min), "start": starts[r.part] + r.before + ends - lengths, "n_tokens": lengths, "ids_crc32": np.array(crc, "int64")})
 
-    return placed.select("part", "doc_ids", "payload", "before").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("part", "doc_ids", "payload", "before").mapInPandas(lambda batches: tidy(run(batches)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:

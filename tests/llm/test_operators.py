@@ -329,9 +329,56 @@ def test_units_are_the_library(rows):
         assert ids[b - k : b].tolist() == e.tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_token_files_are_small_and_hold_any_id():
+    rng = np.random.default_rng(5)
+    words = [rng.integers(0, 50257, rng.integers(1, 6)) for _ in range(150)]
+    ids = np.concatenate([words[k] for k in rng.zipf(1.2, 60000).clip(1, 150) - 1]).astype("<u4")
+    data = tokenfile.write_segment(np.array([len(ids)]), ids)
+    assert len(data) < len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+    for top in (1 << 16, 1 << 24, (1 << 32) - 1):
+        ids = rng.integers(0, top, 5000, endpoint=True).astype("<u4")
+        assert (tokenfile.read_segment(tokenfile.write_segment(np.array([5000]), ids))[1] == ids).all()
+
+
+def test_buckets_are_sparks(spark):
+    from apportion.llm import exchange
+
+    x = np.array([0, 1, -5, 1 << 33, (7 << 32) + 12345, 1 << 62])
+    got = spark.createDataFrame([(int(v),) for v in x], "c long").selectExpr("pmod(hash(c), 13) b").collect()
+    assert [r.b for r in got] == exchange.bucket_of(x, 13).tolist()
+    ns = exchange.numbers(5, 13)
+    own = np.array([next(ns) for _ in range(3000)])
+    assert (np.diff(own) > 0).all() and (exchange.bucket_of(own, 13) == 5).all()
+
+
 # 7
 
 
+def every_path(machines, word):
+    """The weight of the best way through the machines one after another, by trying all."""
+    if not machines:
+        return 1.0
+    best = 0.0
+    paths = [(0, "", 1.0)]
+    for c in word:
+        paths = [(n, out + w, v * x) for s, out, v in paths for w, x, n in machines[0].arcs.get((s, c), [])]
+    for _, out, v in paths:
+        best = max(best, v * every_path(machines[1:], out))
+    return best
+
+
+def test_composition_is_every_path():
+    import random
+
+    rng = random.Random(2)
+    machines = [toxicity._insult(), toxicity._threat(), toxicity._reported(), toxicity._negated(), toxicity._target(), toxicity._weights()]
+    whole = toxicity.Grammar({}).machine
+    for _ in range(300):
+        word = "".join(rng.choice("xitynrcdf") for _ in range(rng.randrange(1, 7)))
+        assert whole.best(word) == pytest.approx(every_path(machines, word)), word
+    assert whole.best("yci") > whole.best("i") and whole.best("fty") > whole.best("ty") > whole.best("t")
+
+
 def toxic_corpus():
     import random
 
