@@ -31,9 +31,9 @@ from apportion.llm.common import plain, tidy, write_table
 from apportion.llm.tokens import default_path, encoder
 
 END = 2
-SEGMENT, AT_ONCE = 8 << 20, 2 << 20
+SEGMENT, AT_ONCE = 12 << 20, 2 << 20
 #: Bytes of text that a range of documents should have.
-PART_BYTES = 20 << 20
+PART_BYTES = 28 << 20
 MAGIC = b"APTK2\0"
 _SEGMENT, _BLOCK = "<6sIQI", "<IIIII"
 

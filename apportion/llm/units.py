@@ -18,10 +18,10 @@ import numpy as np
 from apportion.llm.seq import mix, ragged
 
 U = np.uint64
-KEPT = 800_000
+KEPT = 1_500_000
 #: Units of more bytes are hashed byte by byte and not kept.
 LONG = 32
-_SLOTS = 1 << 21
+_SLOTS = 1 << 22
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
 
 
