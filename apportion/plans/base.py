@@ -49,9 +49,8 @@ class Tables:
 
     @property
     def regions(self) -> DataFrame:
-        """Every 50th span, three times as long."""
-        s = self.spans.filter("id % 50 = 7")
-        return s.select("id", "chrom", "start", (F.col("start") + 3 * (F.col("end") - F.col("start"))).alias("end"))
+        """All spans, a minute later and three times as long."""
+        return self.spans.select("id", "chrom", (F.col("start") + 60).alias("start"), (F.col("start") + 60 + 3 * (F.col("end") - F.col("start"))).alias("end"))
 
     @property
     def records(self) -> DataFrame:
@@ -67,7 +66,7 @@ TARGETS = "select p_partkey as sid, p_brand as gene, p_type as iso, p_size as le
 SPANS = """select event_id as id, event_type as chrom, s as start, s + 60 + cast(floor(value * 10) as bigint) as "end",
   case when user_id % 2 = 0 then '+' else '-' end as strand, user_id, value
   from (select *, cast(floor(epoch_us(ts) / 1000000.0) as bigint) - 1704067200 as s from events)"""
-REGIONS = f"""select id, chrom, start, start + 3 * ("end" - start) as "end" from ({SPANS}) where id % 50 = 7"""
+REGIONS = f"""select id, chrom, start + 60 as start, start + 60 + 3 * ("end" - start) as "end" from ({SPANS})"""
 RECORDS = """select l_orderkey as qname, cast(l_linenumber % 2 + case when l_returnflag = 'R' then 4 else 0 end + case when l_linestatus = 'O' then 8 else 0 end
   + case when l_suppkey % 2 = 0 then 16 else 32 end + case when l_partkey % 2 = 0 then 64 else 128 end + case when l_quantity > 45 then 256 else 0 end
   + case when l_discount > 0.095 then 512 else 0 end + case when l_tax > 0.075 then 1024 else 0 end + case when l_quantity < 3 then 2048 else 0 end

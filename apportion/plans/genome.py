@@ -84,7 +84,7 @@ def fractional_depth(t: Tables):
     return iv.depth_steps(s, ["chrom"], "w")
 
 
-@query(f"""select r.id, r.chrom, r.start, r."end", count(s.id) as n, cast(coalesce(sum(least(r."end", s."end") - greatest(r.start, s.start)), 0) as bigint) as bases
+@query(f"""select r.id, r.chrom, r.start, r."end", count(s.id) as n, cast(coalesce(sum(least(r."end", s."end") - greatest(r.start, s.start)) filter (s.id is not null), 0) as bigint) as bases
   from ({REGIONS}) r left join ({SPANS}) s on r.chrom = s.chrom and r.start < s."end" and s.start < r."end" group by all""")
 def region_coverage(t: Tables):
     return iv.coverage(t.regions, t.spans.select(F.col("id").alias("sid"), "chrom", "start", "end"), WIDTH, "id")

@@ -196,10 +196,10 @@ def wilcoxon_ranksum(t: Tables):
     return ordered.rank_sum(x, ["event_type"], "value", "f").select("event_type", "w", "n1", "n2", r(F.col("z"), 6).alias("z"))
 
 
-@query("""with c as (select l_suppkey as feature, l_linenumber as sample, sum(l_quantity) as cnt from lineitem where l_linenumber <= 4 group by all),
-  g as (select feature, avg(ln(cnt)) as lg from c group by 1 having count(*) = 4) select sample, """ + rsql("quantile_cont(exp(ln(cnt) - lg), 0.5)") + " as factor from c join g using (feature) group by 1")
+@query("""with c as (select l_suppkey as feature, l_linenumber as sample, sum(l_quantity) as cnt from lineitem group by all),
+  g as (select feature, avg(ln(cnt)) as lg from c group by 1 having count(*) = (select count(distinct sample) from c)) select sample, """ + rsql("quantile_cont(exp(ln(cnt) - lg), 0.5)") + " as factor from c join g using (feature) group by 1")
 def median_ratio_norm(t: Tables):
-    c = t.lineitem.filter("l_linenumber <= 4").groupBy(F.col("l_suppkey").alias("feature"), F.col("l_linenumber").alias("sample")).agg(F.sum("l_quantity").alias("cnt"))
+    c = t.lineitem.groupBy(F.col("l_suppkey").alias("feature"), F.col("l_linenumber").alias("sample")).agg(F.sum("l_quantity").alias("cnt"))
     return matrix.size_factors(c).select("sample", r(F.col("factor")).alias("factor"))
 
 
@@ -222,9 +222,10 @@ def membership_flag(t: Tables):
     return t.customer.join(x, "c_custkey", "left").select("c_custkey", "c_name", F.col("hit").isNotNull().alias("has_order"))
 
 
-@query("""select doc_id, octet_length(encode(text)) as n_bytes, cast((select sum(ascii(c)) from (select unnest(string_split(left(source, 8), '')) as c)) as bigint) % 4294967296 as chk from documents""")
+@query("""select doc_id, octet_length(encode(text)) as n_bytes, cast(list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))) % 4294967296 as bigint) as chk from documents""")
 def checksum_sum(t: Tables):
-    s = F.aggregate(F.filter(F.split(F.left("source", F.lit(8)), ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a + F.ascii(c))
+    """Sum of the code points of each whole text; empty texts have 0, null ones null."""
+    s = F.aggregate(F.filter(F.split("text", ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a + F.ascii(c))
     return t.documents.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), (s % 4294967296).alias("chk"))
 
 
