@@ -33,7 +33,11 @@ SCALE = OUT_BITS + RANK_BITS
 _ONE, _LEAST = 1 << OUT_BITS, 1 << 32
 #: Contexts of order 2 in a block, and degrees of sureness.
 SLOTS, SURE = 1024, 4
-_TOP = SURE - 1 << 16
+#: An entry is a rank in its low bits, and the sureness above.
+_ENTRY = BLOCK.bit_length() - 1
+_RANK, _STEP, _TOP = (1 << _ENTRY) - 1, 1 << _ENTRY, SURE - 1 << _ENTRY
+#: Factors of a context's last two ranks; only the slot's bits of the products count, which 16 bits hold.
+_MIX1, _MIX2 = np.int16(40503 % SLOTS), np.int16(30029 % SLOTS)
 #: Parts of the list of a block's distinct ids, each with its own number of low bits.
 _PARTS = 8
 #: Ids under this are looked up in a table of all of them.
@@ -62,7 +66,8 @@ class Model:
         self.n, self.ranks, self.width = n, ranks, int(ranks.max(initial=1)) + 1
         rows = np.arange(n)
         self.row0, self.row2, self.row_c = rows * self.width, rows * SLOTS, rows * _CELLS
-        self.one, self.two = np.zeros(n * self.width, np.int64), np.zeros(n * SLOTS, np.int64)
+        # Narrow tables: all blocks' entries are touched at random in every step.
+        self.one, self.two = np.zeros(n * self.width, np.int16), np.zeros(n * SLOTS, np.int16)
         self.new_cells: list[np.ndarray] = []
         self.new_ranks: list[np.ndarray] = []
         self.counts = np.zeros((n, self.width), np.int32)
@@ -97,19 +102,22 @@ class Model:
             w0, w1, w2 = (self.weights[:, None, None, :, k] for k in range(3))
         s1, s2 = ((w * q * (_ONE - 1024)).astype(np.int64) + 8 for w, q in ((w1, q1), (w2, q2)))
         both = np.broadcast_to(s1 + s2, came.shape[:-1])
-        self.s12 = both.ravel()
+        self.s12 = both.ravel() << RANK_BITS
         s2 = np.broadcast_to(s2, came.shape[:-1]).copy()
         s2[..., 1] = both[..., 1]  # the one rank has both shares
-        self.s2 = s2.ravel()
+        self.s2 = s2.ravel() << RANK_BITS
 
     def renew_order0(self, new: np.ndarray) -> None:
         """Order 0's shares from the counts, with the cells (row0 + rank) that came: ends of the ranks' shares, each at least one."""
         if len(new):
             self.counts += 16 * np.bincount(new, minlength=self.n * self.width).astype(np.int32).reshape(self.n, -1)
-        sums = np.cumsum(self.counts, axis=1)
-        free = ((1 << RANK_BITS) - self.ranks) / sums[:, -1]
-        ends = np.zeros((self.n, self.width + 1), np.int64)
-        ends[:, 1:] = (sums * free[:, None]).astype(np.int64) + np.minimum(np.arange(1, self.width + 1), self.ranks[:, None])
+        ends = np.zeros((self.n, self.width + 1), np.int16)
+        upto = np.arange(1, self.width + 1)
+        for i in range(0, self.n, 64):  # some blocks at a time
+            own = self.ranks[i : i + 64]
+            sums = np.cumsum(self.counts[i : i + 64], axis=1, dtype=np.int32)
+            free = ((1 << RANK_BITS) - own) / sums[:, -1]
+            ends[i : i + 64, 1:] = (sums * free[:, None]).astype(np.int16) + np.minimum(upto, own[:, None])
         ends[np.arange(self.n), self.ranks] = 1 << RANK_BITS
         self.ends, self.inverse = ends.ravel(), None
 
@@ -119,15 +127,15 @@ class Model:
             widths = np.diff(self.ends.reshape(self.n, -1), axis=1)
             widths[np.arange(self.width)[None, :] >= self.ranks[:, None]] = 0
             self.inverse = np.repeat(np.tile(np.arange(self.width, dtype=np.int16), self.n), widths.ravel())
-        return self.inverse[(rows << RANK_BITS) + place]
+        return self.inverse.take((rows << RANK_BITS) + place)
 
     def look(self, x1: np.ndarray, x2: np.ndarray, m: int) -> tuple[np.ndarray, ...]:
         """Of the first m blocks, after x1 and x2: the places of order 1's and 2's entries, the entries, their ranks, and the cell."""
         at1 = self.row0[:m] + x1
-        at2 = (x1 * 40503 + x2 * 30029 & SLOTS - 1) + self.row2[:m]
-        v1, v2 = self.one[at1], self.two[at2]
-        g1, g2 = v1 & 0xFFFF, v2 & 0xFFFF
-        cell = (v1 >> 13 & 24) + (v2 >> 15 & 6) + self.row_c[:m]
+        at2 = (x1 * _MIX1 + x2 * _MIX2 & SLOTS - 1) + self.row2[:m]
+        v1, v2 = self.one.take(at1), self.two.take(at2)
+        g1, g2 = v1 & _RANK, v2 & _RANK
+        cell = (v1 >> _ENTRY - 3 & 24) + (v2 >> _ENTRY - 1 & 6) + self.row_c[:m]
         cell += g1 == g2
         return at1, at2, v1, v2, g1, g2, cell
 
@@ -149,7 +157,7 @@ class Model:
         x = x.ravel()
         for table, at, right, v in ((self.one, at1, r1, v1), (self.two, at2, r2, v2)):
             v = v.ravel()
-            new = np.where(right.ravel(), np.minimum(v + 65536, v | _TOP), v - 65536)
+            new = np.where(right.ravel(), np.minimum(v + _STEP, v | _TOP), v - _STEP)
             table[at.ravel()] = np.where(new < 0, x, new)
 
 
@@ -222,7 +230,7 @@ def encode(ids: np.ndarray) -> list[tuple[int, bytes, bytes]]:
     out = np.zeros((n, room), np.int32)
     base = rows * room
     steps = BLOCK if n > 1 else short
-    past = np.zeros((2, n), np.int64)  # the ranks before the stretch
+    past = np.zeros((2, n), np.int16)  # the ranks before the stretch
     for begin, end, order0, shares_too in _stretches(steps, short):
         m = n if begin < short else n - 1
         every = np.concatenate((past[:, :m], ranks[begin:end, :m]))
@@ -231,12 +239,10 @@ def encode(ids: np.ndarray) -> list[tuple[int, bytes, bytes]]:
         hit1, hit2 = xs == g1, xs == g2
         past = every[-2:]
         at = xs + (model.row0[:m] + rows[:m])
-        c0 = model.ends[at]
-        f0 = model.ends[at + 1] - c0
-        s2, s12 = model.s2[cells], model.s12[cells]
-        q = _ONE - s12
-        s2 <<= RANK_BITS
-        s12 <<= RANK_BITS
+        c0 = model.ends.take(at)
+        f0 = model.ends.take(at + 1) - c0
+        s2, s12 = model.s2.take(cells), model.s12.take(cells)
+        q = _ONE - (s12 >> RANK_BITS)
         starts = np.where(hit2, 0, np.where(hit1, s2, s12 + q * c0))
         shares = np.where(hit2, s2, np.where(hit1, s12 - s2, q * f0))
         if int(used.max()) + 2 * STRETCH + 4 > room:  # two digits an id at most
@@ -291,42 +297,40 @@ def decode(blocks: list[tuple[int, bytes, bytes]], total: int) -> np.ndarray:
     used, rng, rows = base + 3, np.full(n, 1 << 48, np.int64), np.arange(n)
     grid = np.zeros((BLOCK, n), np.int16)
     steps = BLOCK if n > 1 else short
-    x1, x2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    x1, x2 = np.zeros(n, np.int16), np.zeros(n, np.int16)
+    first = model.row0 + rows  # of the blocks' ends in order 0
     for begin, end, order0, shares_too in _stretches(steps, short):
         m = n if begin < short else n - 1
         size = (end - begin, m)
-        at1, at2, v1, v2, cells, xs = (np.empty(size, np.int64) for _ in range(6))
+        at1, at2, cells = (np.empty(size, np.int64) for _ in range(3))
+        v1, v2, xs = (np.empty(size, np.int16) for _ in range(3))
         hit1, hit2 = np.empty(size, bool), np.empty(size, bool)
-        of, ra, row0, x1, x2 = off[:m], rng[:m], model.row0[:m], x1[:m], x2[:m]
+        of, ra, x1, x2 = off[:m], rng[:m], x1[:m], x2[:m]
         for t in range(end - begin):
             at1[t], at2[t], v1[t], v2[t], g1, g2, cell = model.look(x1, x2, m)
             cells[t] = cell
-            s2, s12 = model.s2[cell], model.s12[cell]
             r = ra >> SCALE
-            value = (of / r).astype(np.int64)
-            head = value >> RANK_BITS
-            two = head < s2
+            # The ends of order 2's and order 1's parts of the interval: a quotient is needed only beyond them.
+            s12 = model.s12.take(cell)
+            end2, end1 = model.s2.take(cell) * r, s12 * r
+            two = of < end2
+            new = np.flatnonzero(of >= end1)
             x = np.where(two, g2, g1)
-            start = s2 << RANK_BITS
-            share = s12 - s2 << RANK_BITS
-            np.copyto(share, start, where=two)
-            start *= ~two
-            new = np.flatnonzero(head >= s12)
+            beyond = of.take(new) - end1.take(new)
+            end1 -= end2
+            ra[:] = np.where(two, end2, end1)
+            end2 *= ~two
+            of -= end2
             if len(new):
-                s = s12[new]
-                q = _ONE - s
-                s <<= RANK_BITS
-                got = model.find(new, (value[new] - s) // q).astype(np.int64)
-                at = row0[new] + got + new
-                c0 = model.ends[at]
+                unit = (_ONE - (s12.take(new) >> RANK_BITS)) * r.take(new)
+                got = model.find(new, beyond // unit)
+                at = first.take(new) + got
+                c0 = model.ends.take(at)
                 x[new] = got
-                start[new] = s + q * c0
-                share[new] = q * (model.ends[at + 1] - c0)
+                of[new] = beyond - unit * c0
+                ra[new] = unit * (model.ends.take(at + 1) - c0)
             np.equal(x, g2, out=hit2[t])
             np.equal(x, g1, out=hit1[t])
-            start *= r
-            of -= start
-            np.multiply(r, share, out=ra)
             while True:
                 small = np.flatnonzero(ra < _LEAST)
                 if not len(small):
