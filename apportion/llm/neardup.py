@@ -8,8 +8,11 @@ Retained values: with all nodes' values in one order, two linked nodes share a
 value among the first n - ceil(0.8 n) + 1 of each, n being the set's size. So
 each node retains that many values: a bottom-k sketch whose k follows the size,
 which loses no link. The order is that of the hash, but values that are frequent
-in the whole corpus come last; how frequent is read off COUNTERS counters, an
-array of fixed size, summed over all documents and sent to the tasks.
+in the whole corpus come last; how frequent is read off 2**COUNTER_BITS counters,
+an array of fixed size, summed over all documents and sent to the tasks. Rare
+values that share a counter make it noisy; values that stand out of that noise
+are told apart, so that a list of values from the front of the order is short
+however often passages come.
 
 Inverted lists of the retained values give candidate pairs, without all pairs of
 a list: first each node of a list against the list's smallest node; then, with
@@ -41,7 +44,7 @@ from apportion.llm import exchange, seq
 from apportion.llm.common import homes, plain, tidy, write_bucketed, write_table
 
 SHINGLE, PERCENT, SKETCH, MARGIN = 4, 80, 24, 0.3
-COUNTER_BITS, BLOCK = 20, 1 << 14
+COUNTER_BITS, BLOCK = 22, 1 << 14
 #: Bytes of packed texts that are compared at once, and values of sets that a task keeps.
 PACKED, KNOWN = 1 << 20, 1 << 21
 #: Members of a component that an outsider meets in a round, and rounds before all that is left is paired.
@@ -86,8 +89,18 @@ def retained(n: np.ndarray) -> np.ndarray:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """The counters of a block, each in as few bytes as all of them need."""
+    most = int(counts.max())
+    return counts.astype(next(f"<u{k}" for k in (1, 2, 4, 8) if most < 1 << 8 * k)).tobytes()
+
+
+def _wide(block: bytes) -> np.ndarray:
+    return np.frombuffer(block, f"<u{len(block) // BLOCK}").astype("<i8")
+
+
 def _counters(docs: DataFrame) -> np.ndarray:
-    """How many documents' sets hold values with given upper bits: 2**COUNTER_BITS sums."""
+    """How many documents' sets hold values with given upper bits: 2**COUNTER_BITS sums, at most 2**32 - 1."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << COUNTER_BITS, np.int64)
@@ -95,26 +108,32 @@ def _counters(docs: DataFrame) -> np.ndarray:
             texts = [t.encode() for t in b.text]
             for i, j in seq.groups(texts):
                 h = shingles(texts[i:j])[1]
-                total += np.bincount((h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total))
+                np.add.at(total, (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
         for k in range(0, len(total), BLOCK):
             part = total[k : k + BLOCK]
             if part.any():
-                yield pd.DataFrame({"block": [k // BLOCK], "counts": [part.astype("<u4" if part.max() < 1 << 32 else "<u8").tobytes()]})
+                yield pd.DataFrame({"block": [k // BLOCK], "counts": [_narrow(part)]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, "<u4" if len(c) == 4 * BLOCK else "<u8").astype("<i8") for c in pdf.counts)
-        return pd.DataFrame({"block": pdf.block[:1], "counts": [total.tobytes()]})
+        return pd.DataFrame({"block": pdf.block[:1], "counts": [_narrow(sum(map(_wide, pdf.counts)))]})
 
-    out = np.zeros(1 << COUNTER_BITS, np.int64)
-    for r in docs.mapInPandas(lambda batches: tidy(count(batches)), "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect():  # 8 MB at most
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], "<i8")
+    out = np.zeros(1 << COUNTER_BITS, np.uint32)
+    for r in docs.mapInPandas(lambda batches: tidy(count(batches)), "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect():  # 16 MB, or 32 MB if sums pass 2**32
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.minimum(_wide(r["counts"]), 0xFFFFFFFF)
     return out
 
 
 def _classes(counts: np.ndarray) -> np.ndarray:
-    """0 for counters up to four times the mean, then one more for each doubling."""
+    """Of each counter, how far it stands over the mean: 0 up to twice the mean's square root, then one more for each such root, and from eight on four more for each doubling.
+
+    Rare values spread evenly, so their sums vary by about the root of the mean.
+    """
     mean = max(1.0, counts.mean())
-    return np.clip(np.log2(np.maximum(counts / (2 * mean), 1)), 0, 60).astype(np.uint8)
+    out = np.empty(len(counts), np.uint8)
+    for k in range(0, len(counts), BLOCK):
+        over = (counts[k : k + BLOCK] - mean) / np.sqrt(mean)
+        out[k : k + BLOCK] = np.clip(np.where(over < 8, over - 1, 7 + 4 * np.log2(np.maximum(over, 8) / 8)), 0, 255)
+    return out
 
 
 CHUNKS = "chunk long, ids binary, nulls binary, n binary, nodes binary, keep binary, values binary, sketches binary, texts binary, lens binary"
@@ -278,7 +297,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     d = plain(docs)
-    classes = spark.sparkContext.broadcast(_classes(_counters(d)))  # 1 MB
+    classes = spark.sparkContext.broadcast(_classes(_counters(d)))  # 4 MB
     n = homes(spark)
     chunks = write_bucketed(_chunks(d, classes, n), "chunks", n)
     members = write_table(_members(chunks), "members")

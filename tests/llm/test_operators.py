@@ -110,6 +110,15 @@ def test_near_dedup_chain(spark):
     assert {i: r.component_id for i, r in got.items()} == {i: c for i, (_, c) in components(rows).items()}
 
 
+def test_near_dedup_frequent_values_last():
+    """A value whose counter stands out of what rare values put there comes after these, at any size of the corpus."""
+    rng = np.random.default_rng(0)
+    for mean, often in ((6, 60), (100, 250), (2000, 2600)):
+        counts = rng.poisson(mean, 1 << 16)
+        classes = neardup._classes(np.append(counts, [often, 1000 * mean]))
+        assert np.mean(classes[:-2] == 0) > 0.9 and classes[-1] > classes[-2] > classes[:-2].max(), mean
+
+
 # 3
 
 
