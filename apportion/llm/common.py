@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +31,53 @@ def work_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables written in the innermost ``passing``: path and, in the catalog, name.
+_WRITTEN: ContextVar[dict[str, str] | None] = ContextVar("written", default=None)
+
+
+def _written(table: DataFrame, path: str, name: str = "") -> DataFrame:
+    table._apportion_path = path
+    if (own := _WRITTEN.get()) is not None:
+        own[path] = name
+    return table
+
+
+def part_of(table: DataFrame, *columns: str) -> DataFrame:
+    """Columns of a written table, which ``passing`` keeps with them."""
+    out = table.select(*columns)
+    out._apportion_path = table._apportion_path
+    return out
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables written in the block are deleted at its end, but for those that it puts into the list, which pass to the block around it.
+
+    Nothing that is used later may read the deleted ones.
+    """
+    own: dict[str, str] = {}
+    kept: list[DataFrame] = []
+    around = _WRITTEN.set(own)
+    try:
+        yield kept
+    finally:
+        _WRITTEN.reset(around)
+        for table in kept:
+            path = table._apportion_path
+            _written(table, path, own.pop(path, ""))
+        for path, name in own.items():
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it again."""
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(spark.read.schema(df.schema).parquet(path), path)
 
 
 def homes(spark: SparkSession) -> int:
@@ -49,8 +92,9 @@ def write_bucketed(df: DataFrame, label: str, n: int) -> DataFrame:
     """
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("path", f"{work_dir(spark).rstrip('/')}/{name}").bucketBy(n, "chunk").saveAsTable(name)
-    return spark.table(name)
+    path = f"{work_dir(spark).rstrip('/')}/{name}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, "chunk").saveAsTable(name)
+    return _written(spark.table(name), path, name)
 
 
 def tidy(results: Iterator) -> Iterator:

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apportion.llm import exchange, seq
-from apportion.llm.common import homes, plain, tidy, write_bucketed, write_table
+from apportion.llm.common import homes, part_of, passing, plain, tidy, write_bucketed, write_table
 
 SHINGLE, PERCENT, SKETCH, MARGIN = 4, 80, 24, 0.3
 COUNTER_BITS, BLOCK = 22, 1 << 14
@@ -288,15 +288,14 @@ def components(links: DataFrame) -> DataFrame:
         step = at.join(near, at["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         jump = at.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         new = write_table(step.join(jump, "comp").select("node", "old", F.least("comp", "next").alias("comp")), "labels")
-        at = new.select("node", "comp")
+        at = part_of(new, "node", "comp")
         if not new.filter("old != comp").limit(1).count():
             return at
 
 
-def classes_of(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    d = plain(docs)
+def _linked(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A row per document (doc_id, n, node), and each linked node's component (node, comp)."""
+    spark = d.sparkSession
     classes = spark.sparkContext.broadcast(_classes(_counters(d)))  # 4 MB
     n = homes(spark)
     chunks = write_bucketed(_chunks(d, classes, n), "chunks", n)
@@ -318,29 +317,37 @@ def classes_of(docs: DataFrame) -> DataFrame:
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     few = 2 * nodes.count()
     for turn in range(MOST_TURNS + 1):
-        e = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        parts = e.groupBy("v", "comp").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("all"), F.max("c").alias("most")).filter("k > 1")
-        e = write_table(e.join(parts, "v"), "lists")
-        x = e.filter("comp != main").select("v", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "pos", "comp")])
-        full = turn == MOST_TURNS or (e.select("v", "all", "most").distinct().agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0) <= few
-        y = e.select("v", "main", *[F.col(c).alias(f"y{c}") for c in ("node", "n", "pos", "comp")])
-        if not full:
-            drawn = F.xxhash64("ynode", F.lit(turn))
-            y = y.filter("ycomp = main").groupBy("v", F.pmod(drawn, F.lit(HUBS)).alias("seat")).agg(F.min_by(F.struct("main", "ynode", "yn", "ypos", "ycomp"), drawn).alias("y")).select("v", "y.*")
-        p = x.join(y, "v").filter("xcomp != ycomp and (ycomp = main or xnode < ynode)").filter(_fits(F.col("xn"), F.col("yn")))
-        rest = 1 + F.least(F.col("xn") - F.col("xpos") - 1, F.col("yn") - F.col("ypos") - 1)
-        p = p.filter((100 + PERCENT) * rest >= PERCENT * (F.col("xn") + F.col("yn")))
-        pairs = write_table(p.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        near = write_table(_estimated(pairs, nodes), "pairs")
-        more = write_table(_verified(near, nodes, chunks), "links")
-        if more.limit(1).count():
-            # The components so far stand for the links so far.
-            links = comp.filter("node != comp").select(F.col("comp").alias("a"), F.col("node").alias("b")).union(more)
-            comp = components(links)
+        with passing(spark) as kept:  # lists and texts are as large as what they are made of
+            e = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            parts = e.groupBy("v", "comp").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("all"), F.max("c").alias("most")).filter("k > 1")
+            e = write_table(e.join(parts, "v"), "lists")
+            x = e.filter("comp != main").select("v", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "pos", "comp")])
+            full = turn == MOST_TURNS or (e.select("v", "all", "most").distinct().agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0) <= few
+            y = e.select("v", "main", *[F.col(c).alias(f"y{c}") for c in ("node", "n", "pos", "comp")])
+            if not full:
+                drawn = F.xxhash64("ynode", F.lit(turn))
+                y = y.filter("ycomp = main").groupBy("v", F.pmod(drawn, F.lit(HUBS)).alias("seat")).agg(F.min_by(F.struct("main", "ynode", "yn", "ypos", "ycomp"), drawn).alias("y")).select("v", "y.*")
+            p = x.join(y, "v").filter("xcomp != ycomp and (ycomp = main or xnode < ynode)").filter(_fits(F.col("xn"), F.col("yn")))
+            rest = 1 + F.least(F.col("xn") - F.col("xpos") - 1, F.col("yn") - F.col("ypos") - 1)
+            p = p.filter((100 + PERCENT) * rest >= PERCENT * (F.col("xn") + F.col("yn")))
+            pairs = write_table(p.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            near = write_table(_estimated(pairs, nodes), "pairs")
+            more = write_table(_verified(near, nodes, chunks), "links")
+            if more.limit(1).count():
+                # The components so far stand for the links so far.
+                links = comp.filter("node != comp").select(F.col("comp").alias("a"), F.col("node").alias("b")).union(more)
+                comp = components(links)
+            kept += [comp, pairs]
         if full:
             break
         tried = tried.union(pairs)
+    return members, comp
+
 
+def classes_of(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    with passing(docs.sparkSession) as kept:  # of what the steps write, the rest goes
+        members, comp = kept[:] = _linked(plain(docs))
     m = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = m.filter("n > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("least"))
     m = m.join(least, "comp", "left")

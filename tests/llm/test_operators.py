@@ -110,6 +110,20 @@ def test_near_dedup_chain(spark):
     assert {i: r.component_id for i, r in got.items()} == {i: c for i, (_, c) in components(rows).items()}
 
 
+def test_near_dedup_leaves_two_tables(spark, docs):
+    """Chunks, lists and texts are gone before the next stage runs; what is left still gives the result."""
+    from pathlib import Path
+
+    from apportion.llm import common
+
+    folder, before = Path(common.work_dir(spark)), len(spark.catalog.listTables())
+    there = set(folder.iterdir())
+    out = neardup.classes_of(docs)
+    assert sorted(x.name.partition("-")[0] for x in set(folder.iterdir()) - there) == ["labels", "members"]
+    assert len(spark.catalog.listTables()) == before
+    assert out.count() == docs.count()
+
+
 def test_near_dedup_frequent_values_last():
     """A value whose counter stands out of what rare values put there comes after these, at any size of the corpus."""
     rng = np.random.default_rng(0)
