@@ -130,21 +130,22 @@ class Model:
         return self.inverse.take((rows << RANK_BITS) + place)
 
     def look(self, x1: np.ndarray, x2: np.ndarray, m: int) -> tuple[np.ndarray, ...]:
-        """Of the first m blocks, after x1 and x2: the places of order 1's and 2's entries, the entries, their ranks, and the cell."""
-        at1 = self.row0[:m] + x1
-        at2 = (x1 * _MIX1 + x2 * _MIX2 & SLOTS - 1) + self.row2[:m]
+        """Of the first m blocks (each a row, if there are several steps), after x1 and x2: the places of order 1's and 2's entries, the entries, their ranks, and the cell."""
+        own = (slice(m), None) if x1.ndim > 1 else slice(m)
+        at1 = self.row0[own] + x1
+        at2 = (x1 * _MIX1 + x2 * _MIX2 & SLOTS - 1) + self.row2[own]
         v1, v2 = self.one.take(at1), self.two.take(at2)
         g1, g2 = v1 & _RANK, v2 & _RANK
-        cell = (v1 >> _ENTRY - 3 & 24) + (v2 >> _ENTRY - 1 & 6) + self.row_c[:m]
+        cell = (v1 >> _ENTRY - 3 & 24) + (v2 >> _ENTRY - 1 & 6) + self.row_c[own]
         cell += g1 == g2
         return at1, at2, v1, v2, g1, g2, cell
 
     def after(self, x: np.ndarray, at1: np.ndarray, at2: np.ndarray, v1: np.ndarray, v2: np.ndarray, r1: np.ndarray, r2: np.ndarray, cells: np.ndarray, order0: bool, shares: bool) -> None:
-        """A stretch came; r1, r2: whether order 1 and 2 had the rank. Renew what is due."""
+        """A stretch came, each block's part a row; r1, r2: whether order 1 and 2 had the rank. Renew what is due."""
         self.learn(x, at1, at2, v1, v2, r1, r2)
         outcomes = np.where(r2, 2, r1)
-        self.new_cells.append((cells * 3 + outcomes).ravel())
-        self.new_ranks.append((x + self.row0[: x.shape[1]])[outcomes == 0])
+        self.new_cells.append((cells * 3 + outcomes).ravel("K"))
+        self.new_ranks.append((x + self.row0[: len(x), None]).ravel("K")[outcomes.ravel("K") == 0])
         if shares:
             self.renew_shares(np.concatenate(self.new_cells))
             self.new_cells = []
@@ -153,12 +154,10 @@ class Model:
             self.new_ranks = []
 
     def learn(self, x: np.ndarray, at1: np.ndarray, at2: np.ndarray, v1: np.ndarray, v2: np.ndarray, r1: np.ndarray, r2: np.ndarray) -> None:
-        """The ids of a stretch came; of several changes of one entry the last counts."""
-        x = x.ravel()
+        """The ids of a stretch came; of several changes of one entry the last counts, whether the arrays go by blocks or by steps."""
         for table, at, right, v in ((self.one, at1, r1, v1), (self.two, at2, r2, v2)):
-            v = v.ravel()
-            new = np.where(right.ravel(), np.minimum(v + _STEP, v | _TOP), v - _STEP)
-            table[at.ravel()] = np.where(new < 0, x, new)
+            new = np.where(right, np.minimum(v + _STEP, v | _TOP), v - _STEP)
+            table[at.ravel("K")] = np.where(new < 0, x, new).ravel("K")
 
 
 def _alphabets(grid: np.ndarray, short: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -222,7 +221,7 @@ def encode(ids: np.ndarray) -> list[tuple[int, bytes, bytes]]:
     grid[: len(ids)] = ids
     short = len(ids) - (n - 1) * BLOCK
     heads, sizes, ranks = _alphabets(grid.reshape(n, BLOCK), short)
-    ranks = np.ascontiguousarray(ranks.T)
+    ranks = np.pad(ranks, ((0, 0), (2, 0)))  # two ranks 0 before a block's first
     model = Model(sizes)
     rows = np.arange(n)
     low, rng, used = np.zeros(n, np.int64), np.full(n, 1 << 48, np.int64), np.zeros(n, np.int64)
@@ -230,15 +229,13 @@ def encode(ids: np.ndarray) -> list[tuple[int, bytes, bytes]]:
     out = np.zeros((n, room), np.int32)
     base = rows * room
     steps = BLOCK if n > 1 else short
-    past = np.zeros((2, n), np.int16)  # the ranks before the stretch
     for begin, end, order0, shares_too in _stretches(steps, short):
         m = n if begin < short else n - 1
-        every = np.concatenate((past[:, :m], ranks[begin:end, :m]))
-        xs = every[2:]
-        at1, at2, v1, v2, g1, g2, cells = model.look(every[1:-1], every[:-2], m)
+        every = ranks[:m, begin : end + 2]
+        xs = every[:, 2:]
+        at1, at2, v1, v2, g1, g2, cells = model.look(every[:, 1:-1], every[:, :-2], m)
         hit1, hit2 = xs == g1, xs == g2
-        past = every[-2:]
-        at = xs + (model.row0[:m] + rows[:m])
+        at = xs + (model.row0[:m] + rows[:m])[:, None]
         c0 = model.ends.take(at)
         f0 = model.ends.take(at + 1) - c0
         s2, s12 = model.s2.take(cells), model.s12.take(cells)
@@ -250,7 +247,7 @@ def encode(ids: np.ndarray) -> list[tuple[int, bytes, bytes]]:
             room *= 2
             base = rows * room
         lo, ra, flat = low[:m], rng[:m], out.reshape(-1)
-        for start, share in zip(starts, shares, strict=True):
+        for start, share in zip(np.ascontiguousarray(starts.T), np.ascontiguousarray(shares.T), strict=True):
             r = ra >> SCALE
             np.multiply(r, share, out=ra)
             r *= start
@@ -323,7 +320,7 @@ def decode(blocks: list[tuple[int, bytes, bytes]], total: int) -> np.ndarray:
             of -= end2
             if len(new):
                 unit = (_ONE - (s12.take(new) >> RANK_BITS)) * r.take(new)
-                got = model.find(new, beyond // unit)
+                got = model.find(new, (beyond / unit).astype(np.int64))  # exact, as both are below 2**49
                 at = first.take(new) + got
                 c0 = model.ends.take(at)
                 x[new] = got
@@ -342,7 +339,7 @@ def decode(blocks: list[tuple[int, bytes, bytes]], total: int) -> np.ndarray:
             xs[t] = x
             x1, x2 = x, x1
         grid[begin:end, :m] = xs
-        model.after(xs, at1, at2, v1, v2, hit1, hit2, cells, order0, shares_too)
+        model.after(*(a.T for a in (xs, at1, at2, v1, v2, hit1, hit2, cells)), order0, shares_too)
     out = np.empty((n, BLOCK), np.uint32)
     ranks = grid.T
     for i, b in enumerate(blocks):

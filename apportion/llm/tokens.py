@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import string
+from itertools import chain
 
 import numpy as np
 
@@ -46,7 +47,7 @@ class Encoder:
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         n = np.array([len(g) for g in got], np.int64)
-        return np.fromiter((i for g in got for i in g), np.uint32, int(n.sum())), n
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum())), n
 
     def _joined(self, new: list[bytes], before: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Units that may stand one after another in a text if ``before``, one token, is put before each."""

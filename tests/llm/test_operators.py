@@ -343,6 +343,21 @@ def test_range_coder(n):
             tokenfile.read_segment(broken)
 
 
+def test_model_looks_at_rows_of_blocks():
+    """A stretch looked at with a row for each block, as the writer does, gives what single steps give, as the reader does."""
+    from apportion.llm import coder
+
+    rng = np.random.default_rng(0)
+    model = coder.Model(np.array([50, 20, 35]))
+    model.one[:], model.two[:] = (rng.integers(0, 1 << 14, len(x)) for x in (model.one, model.two))
+    x = rng.integers(0, 20, (3, 9)).astype(np.int16)
+    together = model.look(x[:, 1:], x[:, :-1], 3)
+    for t in range(8):
+        for a, b in zip(together, model.look(x[:, t + 1], x[:, t], 3), strict=True):
+            assert (a[:, t] == b).all()
+
+
+
 def test_units_are_the_library(rows):
     e = tokens.Encoder(tokens.default_path())
     texts = [t or "" for _, t in rows] + ["<|endoftext|> a", "it's 's", " a", "a  b", "\n\nx", "x \n", "a\x1c b", "don't. U.S.A\nx"]
