@@ -162,11 +162,12 @@ def front_code(rows: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(shared.tobytes() + rest.tobytes())
 
 
-def front_decode(blob: bytes, out: np.ndarray, shared: np.ndarray) -> None:
-    """Fill the rows, and the lengths that each shares with the one before."""
-    n, width = out.shape
+def front_decode(blob: bytes, n: int, width: int, out: np.ndarray | None = None, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The rows, and the lengths that each shares with the one before; filled into ``out`` and ``shared`` if given."""
+    out = np.empty((n, width), np.uint8) if out is None else out
+    shared = np.empty(n, np.int64) if shared is None else shared
     if not n:
-        return
+        return out, shared
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     shared[:] = raw[: 2 * n].view("<u2")
     at = 2 * n
@@ -174,6 +175,7 @@ def front_decode(blob: bytes, out: np.ndarray, shared: np.ndarray) -> None:
         out[i, :k] = out[i - 1, :k]
         out[i, k:] = raw[at : at + width - k]
         at += width - k
+    return out, shared
 
 
 #: An anchor's place in its chunk, its context's number, and whether the chunk alone tells that all its windows are repeated.
@@ -307,7 +309,7 @@ def _answer(pdf: pd.DataFrame, spec: Spec) -> pd.DataFrame:
     weights = np.frombuffer(b"".join(pdf.weight), "<i8")
     rows, prefix = np.empty((len(weights), spec.width), np.uint8), np.empty(len(weights), np.int64)
     for r, e, n in zip(pdf.run, ends.tolist(), sizes, strict=True):
-        front_decode(r, rows[e - n : e], prefix[e - n : e])
+        front_decode(r, n, spec.width, rows[e - n : e], prefix[e - n : e])
     found, parted = np.zeros((len(weights), 2), np.int8), np.zeros(len(weights), np.int8)
     found[:, 1] = -1
     for ctx, shared, at, *depth in spec.order(rows, prefix, ends, spec):
