@@ -34,7 +34,7 @@ END = 2
 SEGMENT, AT_ONCE = 12 << 20, 2 << 20
 #: Bytes of text that a range of documents should have.
 PART_BYTES = 28 << 20
-MAGIC = b"APTK2\0"
+MAGIC = b"APTK3\0"
 _SEGMENT, _BLOCK = "<6sIQI", "<IIIII"
 
 

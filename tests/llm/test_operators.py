@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -357,6 +358,57 @@ def test_model_looks_at_rows_of_blocks():
             assert (a[:, t] == b).all()
 
 
+def test_lists_of_blocks_are_coded_together():
+    from apportion.llm import coder
+
+    rng = np.random.default_rng(1)
+    every = [np.unique(rng.integers(0, top, n, endpoint=True)) for top, n in ((0, 1), (5, 3), (50256, 700), ((1 << 32) - 1, 4096), (4095, 60000), (1 << 20, 7), (50256, 2))]
+    sizes = np.array([len(x) for x in every])
+    heads = coder._listed(np.concatenate(every), sizes)
+    assert (coder._unlisted(heads, sizes) == np.concatenate(every)).all()
+    for head, x in zip(heads, every, strict=True):
+        assert coder._listed(x, np.array([len(x)])) == [head]
+    with pytest.raises(ValueError):
+        coder._unlisted(heads, sizes + 1)
+
+
+def test_a_block_costs_few_calls():
+    """Array operations are for many blocks at once: another block adds little more than its own slices."""
+
+    def calls(run, *args):
+        n = 0
+
+        def seen(frame, event, arg):
+            nonlocal n
+            n += event == "c_call"
+
+        sys.setprofile(seen)
+        try:
+            out = run(*args)
+        finally:
+            sys.setprofile(None)
+        return n, out
+
+    ids = np.random.default_rng(0).zipf(1.3, 96 << 12).clip(0, 50256).astype("<u4")
+    wrote, read = [], []
+    for n in (32 << 12, 96 << 12):
+        k, data = calls(tokenfile.write_segment, np.array([n]), ids[:n])
+        wrote.append(k)
+        k, got = calls(tokenfile.read_segment, data)
+        read.append(k)
+        assert (got[1] == ids[:n]).all()
+    assert wrote[1] - wrote[0] < 64 * 30 and read[1] - read[0] < 64 * 30
+
+
+@pytest.mark.parametrize("n", [5, 4096, 4097, 20000])
+def test_range_coder_at_its_ends(n):
+    """Ids that are all sure, all new, or sure until they are not: the least and the largest shares, and carries."""
+    rng = np.random.default_rng(n)
+    for ids in (np.zeros(n), np.arange(n), np.arange(n) % 2, np.where(rng.random(n) < 0.001, rng.integers(0, 50000, n), 7), rng.permutation(n) % 4000):
+        ids = ids.astype("<u4")
+        assert (tokenfile.read_segment(tokenfile.write_segment(np.array([n]), ids))[1] == ids).all()
+
+
 
 def test_units_are_the_library(rows):
     e = tokens.Encoder(tokens.default_path())
